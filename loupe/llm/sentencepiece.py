@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from loupe.llm.common import read, small_batches, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE, _NEWLINE = 0x20, 0x0A
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 19
 
 
 @dataclass
@@ -39,12 +40,25 @@ class Pieces:
     raw: np.ndarray
     start: np.ndarray
     size: np.ndarray
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+    prefixes: list[np.ndarray]  # of each length, which slots have a prefix of a piece
     logp: np.ndarray
     byte_id: np.ndarray
     byte_logp: float
 
 
+def _raw_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """As textvec.span_hashes before mixing: spans of one length are compared only with each other."""
+    p, inv = V._powers(len(data) + 1)
+    c = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(V._BYTE[data] * p[: len(data)], out=c[1:])
+    return (c[start + size] - c[start]) * inv[start]
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(46)).view(np.int64)
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
     """The vocabulary of a model file. A BPE model stores a piece's merge rank as its score; by Zipf's law that rank gives the piece's log probability."""
@@ -68,15 +82,18 @@ def load(path: str) -> Pieces:
             blobs.append(name.replace("▁", " ").encode() if normal[i] else b"")
     size = np.array([len(b) for b in blobs])
     raw, end = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum(size)
-    h = V.span_hashes(raw, end - size, end)
+    h = _raw_hashes(raw, end - size, size)
     by_length = {}
     for length in np.unique(size[normal]):
         ids = np.flatnonzero(normal & (size == length))
         ids = ids[np.argsort(h[ids])]
-        known = np.zeros(1 << 20, bool)
-        known[(h[ids] >> np.uint64(44)).astype(np.int64)] = True
-        by_length[int(length)] = (h[ids], ids.astype(np.int32), known)
-    return Pieces(raw, end - size, size, by_length, logp, byte_id, float(logp[normal].min()) - 10)
+        by_length[int(length)] = (h[ids], ids.astype(np.int32))
+    prefixes = [np.zeros(1, bool)]
+    for length in range(1, int(size[normal].max()) + 1):
+        ids = np.flatnonzero(normal & (size >= length))
+        prefixes.append(np.zeros(1 << 18, bool))
+        prefixes[-1][_slot(_raw_hashes(raw, (end - size)[ids], np.full(len(ids), length)))] = True
+    return Pieces(raw, end - size, size, by_length, prefixes, logp, byte_id, float(logp[normal].min()) - 10)
 
 
 class Lattice:
@@ -103,17 +120,20 @@ class Lattice:
         covered = np.zeros(total, bool)
         frm, to, ids, lp = [], [], [], []
         nodes = np.flatnonzero(lead)
-        nodes_l = nodes
-        for length, (hs, names, known) in p.by_length.items():  # lengths grow
-            nodes_l = nodes_l[left[nodes_l] >= length]
-            if not len(nodes_l):
+        on = nodes
+        for length in range(1, len(p.prefixes)):  # nodes go on as long as what follows may begin a piece
+            on = on[left[on] >= length]
+            if not len(on):
                 break
-            h = V.mix((c[nodes_l + length] - c[nodes_l]) * inv[nodes_l] ^ np.uint64(length))
-            may = np.flatnonzero(known[(h >> np.uint64(44)).view(np.int64)])
-            h = h[may]
+            h = (c[on + length] - c[on]) * inv[on]
+            may = np.flatnonzero(p.prefixes[length][_slot(h)])
+            on, h = on[may], h[may]
+            if length not in p.by_length:
+                continue
+            hs, names = p.by_length[length]
             k = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
             hit = hs[k] == h
-            f, i = nodes_l[may[hit]], names[k[hit]]
+            f, i = on[hit], names[k[hit]]
             covered[f[char[f] == length]] = True
             frm.append(f)
             to.append(f + length)
@@ -124,15 +144,24 @@ class Lattice:
         to.append(f + char[f])
         ids.append(np.full(len(f), -1, np.int32))
         lp.append(p.byte_logp * char[f])
-        frm, to, ids, lp = (np.concatenate(x) for x in (frm, to, ids, lp))
-        order = np.argsort(frm, kind="stable")
-        self.frm, self.to, self.ids, lp = frm[order], to[order], ids[order], lp[order]
-        self.edge0 = np.searchsorted(self.frm, np.arange(total + 1))
-        degree = np.diff(self.edge0)
+        runs = list(zip(frm, to, ids, lp, strict=True))
+        self.degree = np.zeros(total + 1, np.int32)
+        for f, _, _, _ in runs:
+            self.degree[f] += 1  # a run has one length, and so each node once
+        self.edge0 = np.cumsum(self.degree) - self.degree
+        n = int(self.degree.sum())
+        self.frm, self.to, self.ids, lp = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n)
+        fill = self.edge0.copy()
+        for f, t, i, w in runs:
+            at_ = fill[f]
+            self.frm[at_], self.to[at_], self.ids[at_], lp[at_] = f, t, i, w
+            fill[f] += 1
+        degree = self.degree[:-1]
         beta = np.zeros(total)
         far = left[self.frm]
+        far = far.astype(np.uint16) if total and left.max() < 1 << 16 else far
         by_far = np.argsort(far, kind="stable")
-        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(far[by_far]) > 0]), len(far)] if len(far) else np.zeros(1, int)
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(far[by_far].astype(np.int64)) > 0]), len(far)] if len(far) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_far[a:b]
             v = lp[e] + beta[self.to[e]]
@@ -161,17 +190,17 @@ def _walk(lat: Lattice, node: np.ndarray, origin: np.ndarray, key: np.ndarray, s
     live = ~lat.last[cur]
     who, cur = who[live], cur[live]
     while len(who):
-        e = lat.edge0[cur].copy()
-        more = np.flatnonzero(lat.edge0[cur + 1] - e > 1)
+        e = lat.edge0[cur]
+        more = np.flatnonzero(lat.degree[cur] > 1)
         if len(more):
             u = _unit(key[who[more]], origin[who[more]] + lat.at[cur[more]], salt)
             while len(more):
-                up = u > lat.cdf[e[more]]
+                up = np.flatnonzero(u > lat.cdf[e[more]])
                 more, u = more[up], u[up]
                 e[more] += 1
         steps.append((who, e))
         cur = lat.to[e]
-        live = ~lat.last[cur]
+        live = np.flatnonzero(~lat.last[cur])
         who, cur = who[live], cur[live]
     count = np.zeros(n, np.int64)
     for w, _ in steps:
@@ -222,7 +251,9 @@ def sample(p: Pieces, texts: V.Texts, keys: np.ndarray, k: int, seed: int = 0) -
     data = texts.data[texts.start[0] : texts.end[-1]] if len(texts) else texts.data
     buf, a, b, doc = _words(data, texts.start, texts.end)
     h = V.span_hashes(buf, a, b)
-    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    kind, distinct = pd.factorize(h)
+    first = np.empty(len(distinct), np.int64)
+    first[kind[::-1]] = np.arange(len(h))[::-1]
     lat = Lattice(p, buf, a[first], b[first])
     base = V.mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 2 + 1))
     owner = np.repeat(np.arange(len(texts)), np.diff(doc))
@@ -235,7 +266,7 @@ def sample(p: Pieces, texts: V.Texts, keys: np.ndarray, k: int, seed: int = 0) -
     cum = np.r_[0, np.cumsum(lq)]
     cut = np.r_[0, np.cumsum(count)][doc]
     place = origin[word] + lat.at[lat.frm[edges]]
-    many = np.flatnonzero(lat.edge0[lat.frm[edges] + 1] - lat.edge0[lat.frm[edges]] > 1)
+    many = np.flatnonzero(lat.degree[lat.frm[edges]] > 1)
     many_cut = np.searchsorted(many, cut)
     text_of = owner[word[many]]
     rest = np.log(np.maximum(-np.expm1(lq[many]), 1e-300))
@@ -243,48 +274,17 @@ def sample(p: Pieces, texts: V.Texts, keys: np.ndarray, k: int, seed: int = 0) -
     free = -np.log(-np.log(_unit(base[text_of], place[many], 2)))
     root = -np.log(-np.log(_unit(base, np.zeros(len(texts), np.int64), 3)))
     perturbed = phi + free
-    out = []
+    all_paths, heaps = [], []
     for d in range(len(texts)):
         lo, hi = cut[d], cut[d + 1]
-        paths = [_Path(edges[lo:hi], word[lo:hi], cum[lo:hi] - cum[lo], float(cum[hi] - cum[lo]), float(root[d]))]
-        heap: list[tuple[float, int, int, float, tuple[int, ...]]] = []  # value, path, edge, log probability of what is left there, its edges that are taken
-
-        def push(path: int, at: np.ndarray, log_rest: np.ndarray, noise: np.ndarray, heap: list = heap, paths: list = paths) -> None:
-            best = _top(noise, k)
-            value = -np.logaddexp(-paths[path].gumbel, -noise[best])
-            heap.extend((float(v), path, int(x), float(r), (int(paths[path].edge[x]),)) for v, x, r in zip(value, at[best], log_rest[best], strict=True))
-
+        x = _Path(edges[lo:hi], word[lo:hi], cum[lo:hi] - cum[lo], float(cum[hi] - cum[lo]), float(root[d]))
         ml, mh = many_cut[d], many_cut[d + 1]
-        push(0, many[ml:mh] - lo, phi[ml:mh], perturbed[ml:mh])
-        while len(paths) < k and heap:
-            i = max(range(len(heap)), key=lambda i: heap[i][0])
-            value, src, at, _, taken = heap.pop(i)
-            old, salt = paths[src], 4 + 3 * len(paths)
-            v = lat.frm[old.edge[at]]
-            w = old.word[at]
-            options = np.array([e for e in range(lat.edge0[v], lat.edge0[v + 1]) if e not in taken])
-            q = np.exp(lat.logq[options])
-            here = np.array([origin[w] + lat.at[v]])
-            u = _unit(base[d : d + 1], here, salt)[0] * q.sum()
-            e = int(options[min(int(np.searchsorted(np.cumsum(q), u)), len(options) - 1)])
-            if len(options) > 1:  # the rest of this branch stays, below what was drawn from it
-                left = float(old.before[at] + np.log(max(q.sum() - np.exp(lat.logq[e]), 1e-300)))
-                g = left - np.log(-np.log(_unit(base[d : d + 1], here, salt + 1)[0]))
-                heap.append((-float(np.logaddexp(-value, -g)), src, at, left, (*taken, e)))
-            words = np.arange(w, doc[d + 1])
-            start = node[words].copy()
-            start[0] = lat.to[e]
-            n2, e2 = _walk(lat, start, origin[words], np.broadcast_to(base[d], len(words)), salt)
-            tail = np.r_[e, e2]
-            tail_word = np.r_[w, np.repeat(words, n2)]
-            lt = lat.logq[tail]
-            before = np.r_[old.before[:at], old.before[at] + np.r_[0, np.cumsum(lt[:-1])]]
-            paths.append(_Path(np.r_[old.edge[:at], tail], np.r_[old.word[:at], tail_word], before, float(before[-1] + lt[-1]), value))
-            f = lat.frm[e2]
-            m2 = np.flatnonzero(lat.edge0[f + 1] - lat.edge0[f] > 1)
-            left2 = before[at + 1 + m2] + np.log(np.maximum(-np.expm1(lat.logq[e2[m2]]), 1e-300))
-            noise = left2 - np.log(-np.log(_unit(np.broadcast_to(base[d], len(m2)), origin[tail_word[1:][m2]] + lat.at[f[m2]], salt + 2)))
-            push(len(paths) - 1, at + 1 + m2, left2, noise)
+        all_paths.append([x])
+        heaps.append(_branches(x, 0, many[ml:mh] - lo, phi[ml:mh], perturbed[ml:mh], k))
+    for turn in range(1, k):
+        _open_best(lat, all_paths, heaps, turn, k, base, origin, node, doc)
+    out = []
+    for paths, heap in zip(all_paths, heaps, strict=True):
         floor = max((x[0] for x in heap), default=-np.inf)
         got = []
         for x in paths:
@@ -302,6 +302,64 @@ def sample(p: Pieces, texts: V.Texts, keys: np.ndarray, k: int, seed: int = 0) -
     return out
 
 
+def _branches(path: _Path, i: int, at: np.ndarray, log_rest: np.ndarray, noisy: np.ndarray, k: int) -> list[tuple[float, int, int, float, tuple[int, ...]]]:
+    """The k best branches off a path: (perturbed value, path, place of its edge, log probability of what is left there, edges that are taken there)."""
+    best = _top(noisy, k)
+    value = -np.logaddexp(-path.gumbel, -noisy[best])
+    return [(v, i, x, r, (int(path.edge[x]),)) for v, x, r in zip(value.tolist(), at[best].tolist(), log_rest[best].tolist(), strict=True)]
+
+
+def _open_best(lat: Lattice, all_paths: list, heaps: list, turn: int, k: int, base: np.ndarray, origin: np.ndarray, node: np.ndarray, doc: np.ndarray) -> None:
+    """Opens the best branch of every text that has one: draws its edge, walks to the text's end, and puts the new branches on the heap."""
+    salt = 1 + 3 * turn
+    picks = [(d, heap.pop(max(range(len(heap)), key=lambda i: heap[i][0]))) for d, heap in enumerate(heaps) if heap]
+    if not picks:
+        return
+    ds = np.array([d for d, _ in picks])
+    word = np.array([all_paths[d][x[1]].word[x[2]] for d, x in picks])
+    first = np.array([all_paths[d][x[1]].edge[x[2]] for d, x in picks])
+    v = lat.frm[first]
+    here = origin[word] + lat.at[v]
+    u, g = _unit(base[ds], here, salt), -np.log(-np.log(_unit(base[ds], here, salt + 1)))
+    chosen = np.empty(len(ds), np.int64)
+    for j, (d, (value, src, at, _, taken)) in enumerate(picks):
+        e0 = int(lat.edge0[v[j]])
+        options = [e for e in range(e0, e0 + int(lat.degree[v[j]])) if e not in taken]
+        q = np.exp(lat.logq[options])
+        e = options[min(int(np.searchsorted(np.cumsum(q), u[j] * q.sum())), len(options) - 1)]
+        chosen[j] = e
+        if len(options) > 1:  # the rest of this branch stays, below what was drawn from it
+            left = float(all_paths[d][src].before[at] + np.log(max(q.sum() - np.exp(lat.logq[e]), 1e-300)))
+            heaps[d].append((-float(np.logaddexp(-value, -left - g[j])), src, at, left, (*taken, e)))
+    size = doc[ds + 1] - word
+    off = np.cumsum(size) - size
+    words = np.repeat(word - off, size) + np.arange(int(size.sum()))
+    start = node[words]
+    start[off] = lat.to[chosen]
+    key = np.repeat(base[ds], size)
+    count, edges = _walk(lat, start, origin[words], key, salt)
+    of_edge = np.repeat(np.arange(len(words)), count)
+    ends = np.r_[0, np.cumsum(count)][np.r_[off, len(words)]]
+    lq = lat.logq[edges]
+    cum = np.r_[0, np.cumsum(lq)]
+    f = lat.frm[edges]
+    many = np.flatnonzero(lat.degree[f] > 1)
+    many_cut = np.searchsorted(many, ends)
+    noise = -np.log(-np.log(_unit(key[of_edge[many]], origin[words[of_edge[many]]] + lat.at[f[many]], salt + 2)))
+    rest = np.log(np.maximum(-np.expm1(lq[many]), 1e-300))
+    ewords = words[of_edge]
+    for j, (d, (value, src, at, _, _)) in enumerate(picks):
+        old, lo, hi, e = all_paths[d][src], ends[j], ends[j + 1], chosen[j]
+        begin = float(old.before[at] + lat.logq[e])
+        before = np.concatenate([old.before[: at + 1], cum[lo:hi] - cum[lo] + begin])
+        new = _Path(np.concatenate([old.edge[:at], [e], edges[lo:hi]]), np.concatenate([old.word[:at], [word[j]], ewords[lo:hi]]), before, begin + float(cum[hi] - cum[lo]), value)
+        all_paths[d].append(new)
+        ml, mh = many_cut[j], many_cut[j + 1]
+        places = many[ml:mh] - lo + at + 1
+        log_rest = before[places] + rest[ml:mh]
+        heaps[d] += _branches(new, len(all_paths[d]) - 1, places, log_rest, log_rest + noise[ml:mh], k)
+
+
 def _log_inclusion(d: float) -> float:
     """log(1 - exp(-exp(d))): the chance that a segmentation's perturbed value exceeds the first one that is not in the sample."""
     if d > 4:
