@@ -149,8 +149,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\x0c]+'), x -> x <> '') w from documents),
-t as (select doc_id, unnest(w) w, generate_subscripts(w, 1) i from d),
+with d as (select doc_id, regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\x0c]+') w from documents),
+t as (select * from (select doc_id, unnest(w) w, generate_subscripts(w, 1) i from d) where w <> ''),
 g as (select *, lag(w, 1) over o a, lag(w, 2) over o b from t window o as (partition by doc_id order by i)),
 c1 as (select w, count(*) c from t group by w),
 c2 as (select a, w, count(*) c from g where a is not null group by a, w),
@@ -162,6 +162,6 @@ s as (
     else (case when g.b is not null then 2 when g.a is not null then 1 else 0 end) * ln(0.4) + ln(c1.c) - ln((select count(*) from t)) end v
   from g join c1 on c1.w = g.w left join c1 x1 on x1.w = g.a left join c2 on c2.a = g.a and c2.w = g.w
   left join c2 x2 on x2.a = g.b and x2.w = g.a left join c3 on c3.b = g.b and c3.a = g.a and c3.w = g.w)
-select d.doc_id, len(d.w)::bigint n_tokens, round(coalesce(x.v, 0), 4) log_score, round(x.v / nullif(len(d.w), 0), 5) mean_log_score
-from d left join (select doc_id, sum(v) v from s group by doc_id) x using (doc_id)
+select d.doc_id, coalesce(x.n, 0)::bigint n_tokens, round(coalesce(x.v, 0), 4) log_score, round(x.v / x.n, 5) mean_log_score
+from d left join (select doc_id, sum(v) v, count(*) n from s group by doc_id) x using (doc_id)
 """

@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     all_sigs = materialize(all_sigs.where(F.col("sig") != F.lit(bytes(BYTES))), "sigs")
     same = materialize(all_sigs.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "same")
     copies = all_sigs.join(same.where("n > 1"), "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    edges = near_edges(same.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig")), max_bits)
+    edges = materialize(near_edges(same.select(F.col("rep").alias("id"), "sig").groupBy("id").agg(F.min("sig").alias("sig")), max_bits), "edges")
     return components(copies.union(edges)).select(F.col("node").alias("doc_id"), F.col("root").alias("rep"))
 
 
