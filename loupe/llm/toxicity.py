@@ -1,9 +1,10 @@
 """Toxicity: a linear-chain conditional random field over a sentence's words.
 
-Two states, toxic or not. Emissions are sums of weights of a word, its two
-neighbours, its shape and its length; forward-backward marginals give each word's
-probability, runs of probable words are the offending spans, and the most certain
-span scores the document. Chains of many documents are worked on at once, a step
+Two states, toxic or not. Emissions are sums of weights of a word, how it begins,
+its two neighbours, its shape and its length; forward-backward marginals give each word's
+probability, runs of probable words are the offending spans, and a logistic
+function of the expected number of toxic words and of all words, fitted on the
+labels, scores the document: a stray word in a long text is not a toxic text. Chains of many documents are worked on at once, a step
 being one array operation over all that are long enough.
 """
 
@@ -21,14 +22,16 @@ from loupe.llm.common import read, small_batches, unused
 
 _END = V.table(".!?\n\r;")
 _N_SHAPE = 12
+_BEGIN_BYTES = 6
 
 
 @dataclass
 class Words:
     """Words of some texts in chains: one a sentence."""
 
-    tok: V.Tokens
+    tok: V.Tokens | None
     h: np.ndarray
+    begin: np.ndarray  # hash of the first bytes
     first: np.ndarray  # of each chain
     shape: np.ndarray
     head: np.ndarray  # whether a word begins a chain
@@ -37,7 +40,9 @@ class Words:
 def words(texts: V.Texts) -> Words:
     tok = texts.tokens(V.LETTER)
     n = len(tok)
-    h = tok.hashes(texts.lower().data)
+    low = texts.lower().data
+    h = tok.hashes(low)
+    begin = V.span_hashes(low, tok.start, np.minimum(tok.end, tok.start + _BEGIN_BYTES))
     head = np.zeros(n, bool)
     if n:
         head[tok.lo[tok.count > 0]] = True
@@ -48,7 +53,20 @@ def words(texts: V.Texts) -> Words:
     upper = (c >= 65) & (c <= 90)
     digit = (c >= 48) & (c <= 57)
     shape = np.minimum(size // 3, 3) + 4 * np.where(digit, 2, np.where(upper, 1, 0))
-    return Words(tok, h, np.flatnonzero(head), shape, head)
+    return Words(tok, h, begin, np.flatnonzero(head), shape, head)
+
+
+def _index(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each hash in a sorted vocabulary; the last for others. Most words are others, which a table of slots settles."""
+    out = np.full(len(h), len(vocab))
+    if len(vocab):
+        slots = np.zeros(1 << 18, bool)
+        slots[(vocab >> np.uint64(46)).view(np.int64)] = True
+        may = np.flatnonzero(slots[(h >> np.uint64(46)).view(np.int64)])
+        k = np.minimum(np.searchsorted(vocab, h[may]), len(vocab) - 1)
+        hit = vocab[k] == h[may]
+        out[may[hit]] = k[hit]
+    return out
 
 
 @dataclass
@@ -56,6 +74,8 @@ class Crf:
     """vocab: sorted word hashes; weights that state 1 gains over state 0; trans[i, j]: from i to j."""
 
     vocab: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1))
     here: np.ndarray = field(default_factory=lambda: np.zeros(1))
     before: np.ndarray = field(default_factory=lambda: np.zeros(1))
     after: np.ndarray = field(default_factory=lambda: np.zeros(1))
@@ -63,24 +83,21 @@ class Crf:
     bias: float = -30.0
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    doc: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0, 0, 0]))
 
-    def index(self, h: np.ndarray) -> np.ndarray:
-        """Each word's place in the vocabulary; the last for others."""
-        if not len(self.vocab):
-            return np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        return np.where(self.vocab[k] == h, k, len(self.vocab))
+    def score(self, expected: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_doc_features(expected, n_words) @ self.doc, -40, 40)))
 
-    def neighbours(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = self.index(w.h)
+    def neighbours(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        k = _index(self.vocab, w.h)
         none = len(self.vocab)
         prev, nxt = np.full(len(k), none), np.full(len(k), none)
         prev[1:] = np.where(w.head[1:], none, k[:-1])
         nxt[:-1] = np.where(w.head[1:], none, k[1:])
-        return k, prev, nxt
+        return k, prev, nxt, _index(self.begins, w.begin)
 
-    def emissions(self, w: Words, at: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        return self.bias + self.here[at[0]] + self.before[at[1]] + self.after[at[2]] + self.shape[w.shape]
+    def emissions(self, w: Words, at: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        return self.bias + self.here[at[0]] + self.before[at[1]] + self.after[at[2]] + self.begin[at[3]] + self.shape[w.shape]
 
 
 def marginals(first: np.ndarray, emit: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -128,57 +145,96 @@ def marginals(first: np.ndarray, emit: np.ndarray, start: np.ndarray, trans: np.
     return p, moves, float(np.log(scale).sum())
 
 
-def fit_crf(texts: V.Texts, tags: np.ndarray, w: Words | None = None, rounds: int = 60, rate: float = 0.3, l2: float = 0.02, min_words: int = 3) -> Crf:
-    """Maximum likelihood of the tags (0 or 1 for each word of words(texts)), with a quadratic penalty, by Adagrad on the whole gradient."""
-    w = w or words(texts)
+def _doc_features(expected: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(expected)), np.log(expected + 0.05), np.log1p(n_words), np.minimum(expected, 3)])
+
+
+def fit_doc_score(expected: np.ndarray, n_words: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton's method."""
+    x, b = _doc_features(expected, n_words), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(4), x.T @ (y - p) - l2 * b)
+        b = b + np.clip(step, -3, 3)
+    return b
+
+
+def chains(w: Words, keep: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The chains of which keep is true, and the words they have."""
+    at = np.repeat(keep, np.diff(np.r_[w.first, len(w.h)]))
+    return Words(None, w.h[at], w.begin[at], np.flatnonzero(w.head[at]), w.shape[at], w.head[at]), at
+
+
+def fit_crf(w: Words, tags: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 0.02, min_words: int = 3) -> Crf:
+    """Maximum likelihood of the tags (0 or 1 for each word), with a quadratic penalty, by Adagrad on the whole gradient."""
     y = tags.astype(float)
     if not len(y) or not y.any():
         return Crf()
     u, c = np.unique(w.h, return_counts=True)
     known = np.isin(u, np.unique(w.h[y > 0]))
-    m = Crf(vocab=u[(c >= min_words) | known])
+    ub, cb = np.unique(w.begin, return_counts=True)
+    m = Crf(vocab=u[(c >= min_words) | known], begins=ub[(cb >= min_words) | np.isin(ub, np.unique(w.begin[y > 0]))])
     size = len(m.vocab) + 1
-    m.here, m.before, m.after, m.bias = np.zeros(size), np.zeros(size), np.zeros(size), -3.0
+    m.here, m.before, m.after, m.begin, m.bias = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(len(m.begins) + 1), -3.0
     at = m.neighbours(w)
     same = ~w.head[1:]
     a, b = tags[:-1][same], tags[1:][same]
     seen = np.bincount(a * 2 + b, minlength=4).reshape(2, 2).astype(float)
     begins = np.array([(1 - y[w.first]).sum(), y[w.first].sum()])
-    square = [np.full(x.shape, 1e-6) for x in (m.here, m.before, m.after, m.shape, np.zeros(1), m.start, m.trans)]
+    square = [np.full(x.shape, 1e-6) for x in (m.here, m.before, m.after, m.begin, m.shape, np.zeros(1), m.start, m.trans)]
     for _ in range(rounds):
         p, moves, _ = marginals(w.first, m.emissions(w, at), m.start, m.trans)
         d = y - p
         one = p[w.first].sum()
-        grads = [np.bincount(at[0], d, size) - l2 * m.here, np.bincount(at[1], d, size) - l2 * 10 * m.before, np.bincount(at[2], d, size) - l2 * 10 * m.after, np.bincount(w.shape, d, _N_SHAPE) - l2 * m.shape, np.array([d.sum()]), begins - [len(w.first) - one, one] - l2 * m.start, seen - moves - l2 * m.trans]
-        for g in grads[:3]:
+        grads = [np.bincount(at[0], d, size) - l2 * m.here, np.bincount(at[1], d, size) - l2 * 10 * m.before, np.bincount(at[2], d, size) - l2 * 10 * m.after, np.bincount(at[3], d, len(m.begin)) - l2 * m.begin, np.bincount(w.shape, d, _N_SHAPE) - l2 * m.shape, np.array([d.sum()]), begins - [len(w.first) - one, one] - l2 * m.start, seen - moves - l2 * m.trans]
+        for g in grads[:4]:
             g[-1] = 0  # words that are not in the vocabulary have no weight of their own
         for k, g in enumerate(grads):
             square[k] += g * g
         step = [rate * g / np.sqrt(s) for g, s in zip(grads, square, strict=True)]
-        m.here, m.before, m.after, m.shape = m.here + step[0], m.before + step[1], m.after + step[2], m.shape + step[3]
-        m.bias += float(step[4][0])
-        m.start, m.trans = m.start + step[5], m.trans + step[6]
+        m.here, m.before, m.after, m.begin, m.shape = m.here + step[0], m.before + step[1], m.after + step[2], m.begin + step[3], m.shape + step[4]
+        m.bias += float(step[5][0])
+        m.start, m.trans = m.start + step[6], m.trans + step[7]
     return m
 
 
 def token_tags(texts: V.Texts, toxic: np.ndarray, w: Words, least_docs: int = 5, least_odds: float = 8.0, least_z: float = 5.0) -> np.ndarray:
-    """Tags from labels of documents: in toxic ones, the words that stand in far more toxic than other documents."""
+    """Tags from labels of documents: in toxic ones, the words that stand in far more toxic than other documents, or begin like such words."""
     owner = w.tok.owner
-    key = np.unique(np.rec.fromarrays([w.h, owner]))
-    u, inv = np.unique(key.f0, return_inverse=True)
-    bad = toxic[key.f1] > 0
-    a, b = np.bincount(inv, bad, len(u)), np.bincount(inv, ~bad, len(u))
     na, nb = max(1, int((toxic > 0).sum())), max(1, int((toxic == 0).sum()))
-    pa_, pb = a / na, b / nb
-    pool = (a + b) / (na + nb)
-    z = (pa_ - pb) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / na + 1 / nb), 1e-12))
-    odds = (a + 0.5) / (na + 1) / ((b + 0.5) / (nb + 1))
-    lexicon = u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)]
-    return (np.isin(w.h, lexicon) & (toxic[owner] > 0)).astype(np.int64)
+    out = np.zeros(len(w.h), bool)
+    for h in (w.h, w.begin):
+        _, once = np.unique(V.mix(h + V.mix(owner.astype(np.uint64))), return_index=True)
+        u, inv = np.unique(h[once], return_inverse=True)
+        bad = toxic[owner[once]] > 0
+        a, b = np.bincount(inv, bad, len(u)), np.bincount(inv, ~bad, len(u))
+        pool = (a + b) / (na + nb)
+        z = (a / na - b / nb) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / na + 1 / nb), 1e-12))
+        odds = (a + 0.5) / (na + 1) / ((b + 0.5) / (nb + 1))
+        out |= np.isin(h, u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)])
+    return (out & (toxic[owner] > 0)).astype(np.int64)
+
+
+def fit_labelled(texts: V.Texts, toxic: np.ndarray, others: int = 3) -> Crf:
+    """From texts with labels (0 or 1): tags by token_tags; the field from the sentences with a tag and others times as many without; the score from all texts."""
+    w = words(texts)
+    if not len(w.h):
+        return Crf()
+    tags = token_tags(texts, toxic, w)
+    has = np.add.reduceat(tags, w.first) > 0
+    rest = np.flatnonzero(~has)
+    keep = has.copy()
+    keep[rest[:: max(1, len(rest) // max(1, others * int(has.sum())))]] = True
+    part, at = chains(w, keep)
+    m = fit_crf(part, tags[at])
+    p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
+    if tags.any():
+        m.doc = fit_doc_score(np.bincount(w.tok.owner, p, len(texts)), w.tok.count, toxic)
+    return m
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 4000, clean_per_toxic: int = 1) -> Crf:
-    """Trains on at most about max_train_rows labelled documents, chosen by hash: all of them say which words are toxic, and the toxic ones and as many others train the field."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 8000) -> Crf:
+    """Trains on at most about max_train_rows labelled documents, chosen by hash; labels: doc_id, toxic (0 or 1)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -187,16 +243,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 4000,
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train_rows / n))
     # the sample has a bounded number of rows, so that it can be sent to all tasks
     got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").toPandas().sort_values(["doc_id", "text"])
-    if not len(got):
-        return Crf()
-    texts, toxic = V.of(got["text"].tolist()), got["toxic"].to_numpy()
-    tags = token_tags(texts, toxic, words(texts))
-    owner = words(texts).tok.owner
-    has = np.bincount(owner, tags, len(toxic)) > 0
-    clean = np.flatnonzero((toxic == 0) & ~has)[: max(1, int(has.sum()) * clean_per_toxic)]
-    use = np.sort(np.r_[np.flatnonzero(has), clean])
-    part = V.of([got["text"].iloc[i] for i in use])
-    return fit_crf(part, np.concatenate([tags[owner == i] for i in use]) if len(use) else np.zeros(0, int))
+    return fit_labelled(V.of(got["text"].tolist()), got["toxic"].to_numpy()) if len(got) else Crf()
 
 
 def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,8 +254,8 @@ def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndar
         return np.zeros(n), *[np.zeros(0, np.int64)] * 3, np.zeros(0)
     p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
     owner = w.tok.owner
-    scores = np.zeros(n)
-    np.maximum.at(scores, owner, p)
+    scores = m.score(np.bincount(owner, p, n), w.tok.count)
+    scores[w.tok.count == 0] = 0
     hit = p >= least
     begin = hit & (w.head | ~np.r_[False, hit[:-1]])
     s = np.flatnonzero(begin)
@@ -228,7 +275,7 @@ def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndar
 def score_toxicity(docs: DataFrame, m: Crf, column: str = "toxicity") -> DataFrame:
     """docs and a column of (score, spans of (begin, end, probability)).
 
-    score is the probability of the most probably toxic word, spans are character
+    score is the probability that the text is toxic, spans are runs of toxic words, as character
     offsets from 0, end excluded. Null, empty and wordless texts score 0 without
     spans. Each row is worked on by itself, over its whole text; repeated rows get
     the same; a column of that name stays and the new one gets underscores.
