@@ -33,6 +33,10 @@ _SPACE, _NEWLINE = 0x20, 0x0A
 BATCH_BYTES = 3 << 19
 
 
+def _slot2(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)).view(np.int64)
+
+
 @dataclass
 class Pieces:
     """Of a vocabulary, the bytes of each id, and by length the sorted hashes of pieces, with ids and log probabilities."""
@@ -40,7 +44,7 @@ class Pieces:
     raw: np.ndarray
     start: np.ndarray
     size: np.ndarray
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     prefixes: list[np.ndarray]  # of each length, which slots have a prefix of a piece
     logp: np.ndarray
     byte_id: np.ndarray
@@ -59,6 +63,18 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(46)).view(np.int64)
 
 
+def _places(hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables from slots to places in hs: in the first a slot has its last hash, in the second those that lost theirs."""
+    one, two = np.zeros(1 << 18, np.int16), np.zeros(1 << 18, np.int16)
+    k = np.arange(len(hs))
+    one[_slot(hs)] = k
+    lost = k[one[_slot(hs)] != k]
+    two[_slot2(hs[lost])] = lost
+    if (two[_slot2(hs[lost])] != lost).any():
+        raise ValueError("the vocabulary is too large for its tables")
+    return one, two
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
     """The vocabulary of a model file. A BPE model stores a piece's merge rank as its score; by Zipf's law that rank gives the piece's log probability."""
@@ -87,7 +103,7 @@ def load(path: str) -> Pieces:
     for length in np.unique(size[normal]):
         ids = np.flatnonzero(normal & (size == length))
         ids = ids[np.argsort(h[ids])]
-        by_length[int(length)] = (h[ids], ids.astype(np.int32))
+        by_length[int(length)] = (h[ids], ids.astype(np.int32), *_places(h[ids]))
     prefixes = [np.zeros(1, bool)]
     for length in range(1, int(size[normal].max()) + 1):
         ids = np.flatnonzero(normal & (size >= length))
@@ -130,9 +146,13 @@ class Lattice:
             on, h = on[may], h[may]
             if length not in p.by_length:
                 continue
-            hs, names = p.by_length[length]
-            k = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-            hit = hs[k] == h
+            hs, names, one, two = p.by_length[length]
+            k = one[_slot(h)]
+            bad = np.flatnonzero(hs[k] != h)
+            k[bad] = two[_slot2(h[bad])]
+            hit = np.ones(len(h), bool)
+            hit[bad] = hs[k[bad]] == h[bad]
+            hit = np.flatnonzero(hit)
             f, i = on[hit], names[k[hit]]
             covered[f[char[f] == length]] = True
             frm.append(f)
@@ -148,7 +168,10 @@ class Lattice:
         self.degree = np.zeros(total + 1, np.int32)
         for f, _, _, _ in runs:
             self.degree[f] += 1  # a run has one length, and so each node once
-        self.edge0 = np.cumsum(self.degree) - self.degree
+        # edges stand by the bytes to the word's end, so that each step back is one slice
+        by_left = np.argsort(left.astype(np.uint16) if total and left.max() < 1 << 16 else left, kind="stable")
+        self.edge0 = np.zeros(total + 1, np.int64)
+        self.edge0[by_left] = np.cumsum(self.degree[by_left]) - self.degree[by_left]
         n = int(self.degree.sum())
         self.frm, self.to, self.ids, lp = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n)
         fill = self.edge0.copy()
@@ -156,23 +179,27 @@ class Lattice:
             at_ = fill[f]
             self.frm[at_], self.to[at_], self.ids[at_], lp[at_] = f, t, i, w
             fill[f] += 1
-        degree = self.degree[:-1]
-        beta = np.zeros(total)
-        far = left[self.frm]
-        far = far.astype(np.uint16) if total and left.max() < 1 << 16 else far
-        by_far = np.argsort(far, kind="stable")
-        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(far[by_far].astype(np.int64)) > 0]), len(far)] if len(far) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_far[a:b]
-            v = lp[e] + beta[self.to[e]]
-            s = np.flatnonzero(np.r_[True, self.frm[e][1:] != self.frm[e][:-1]])
-            top = np.maximum.reduceat(v, s)
-            beta[self.frm[e[s]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.r_[s, len(e)]))), s))
+        cuts = np.r_[0, np.cumsum(np.bincount(left, self.degree[:-1]))].astype(np.int64) if total else np.zeros(1, np.int64)
+        beta, linear, weight = np.zeros(total), np.ones(total), np.exp(lp)
+        starts = np.flatnonzero(np.r_[True, self.frm[1:] != self.frm[:-1]]) if n else np.zeros(0, np.int64)
+        start_cuts = np.searchsorted(starts, cuts)
+        for d in range(1, len(cuts) - 1):
+            a, b = cuts[d], cuts[d + 1]
+            if a == b:
+                continue
+            s = starts[start_cuts[d] : start_cuts[d + 1]]
+            nodes_d = self.frm[s]
+            if d <= 60:
+                linear[nodes_d] = np.add.reduceat(weight[a:b] * linear[self.to[a:b]], s - a)
+                beta[nodes_d] = np.log(linear[nodes_d])
+            else:  # probabilities of long words would underflow
+                v = lp[a:b] + beta[self.to[a:b]]
+                top = np.maximum.reduceat(v, s - a)
+                beta[nodes_d] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.r_[s, b]))), s - a))
         self.logq = lp + beta[self.to] - beta[self.frm]
-        q = np.exp(self.logq)
-        c = np.r_[0, np.cumsum(q)]
-        self.cdf = c[1:] - c[self.edge0[self.frm]]
-        self.cdf[self.edge0[1:][degree > 0] - 1] = np.inf
+        c = np.r_[0, np.cumsum(np.exp(self.logq))]
+        self.cdf = c[1:] - np.repeat(c[starts], np.diff(np.r_[starts, n]))
+        self.cdf[np.r_[starts[1:], n][: len(starts)] - 1] = np.inf
         self.last = left == 0
         self.bytes = char
         self.at = at
