@@ -1,10 +1,250 @@
-"""The registered queries of the engine's own operators and the SQL that gives the same."""
+"""The registered queries of the engine's own operators and the SQL that gives the same.
+
+Documents serve as files. As they hold few secrets and no code, each gets one made-up
+line for every pattern, from a hash of its id, the same in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loupe import config as cfg
+from loupe.functions.text import context, entropy, line_at, lines
+from loupe.model import findings, rank
+from loupe.operators import duplicates as dup
+from loupe.operators import findings as ops
+from loupe.operators import graph
+from loupe.operators import security as sec
+from loupe.plans import fixture
+from loupe.sources import files as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_SECURITY = cfg.DEFAULTS["analyzers"]["security"]
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+# -- security ---------------------------------------------------------------------------------------------------------
+
+_M = "md5(cast(doc_id as {t}))"
+_MADE_UP = [
+    "'k = \"AKIA', upper(substr({m}, 1, 16)), '\"'", "'aws_secret_access_key = ', {m}, substr({m}, 1, 8)", "'t = ghp_', {m}, substr({m}, 1, 4)", "'o = sk-', {m}, {m}", "'api_key: ', {m}",
+    "'j = eyJ', {m}, '.eyJ', {m}, '.', {m}", "'eval(\"1+\" + x)'", "'exec(\"y+\" + x)'", "'os.system(\"ls \" + x)'", "'query(\"select a+b\")'", "'pickle.loads(x)'",
+    "'u', {c}, '@mail.org, u', {c}, '@mail.net'", "'call 415-555-', lpad(cast(doc_id % 10000 as {t}), 4, '0')", "'ssn ', lpad(cast(doc_id % 1000 as {t}), 3, '0'), '-45-6789'",
+]
+
+
+def _content(kind: str, newline: str) -> str:
+    m = _M.format(t=kind)
+    made = [f"concat({x.format(m=m, t=kind, c=f'cast(doc_id as {kind})')})" for x in _MADE_UP]
+    return f"concat(text, {newline}, " + f", {newline}, ".join(made) + ")"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("text", F.expr(_content("string", "chr(10)")))
+    return src.from_documents(docs)
+
+
+_FILES = f"f as (select concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt') file_path, {_content('varchar', 'chr(10)')} content from documents)"
+_LINES = _FILES + ", l as (select file_path, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) line_number from f)"
+_ALLOWED = ", ".join(f"'{x}'" for x in _SECURITY["allow"])
+
+
+def _match_sql(p: sec.Pattern) -> str:
+    allow = f"where text not in ({_ALLOWED})" if p.group == "pii" else ""
+    return f"select file_path, line_number::int line_number, text from (select file_path, line_number, unnest(regexp_extract_all(line, '{p.regex}', 0, 'i')) text from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')) {allow}"
+
+
+for _p in sec.PATTERNS:
+    _add(f"sec_{_p.name}", lambda s, d, p=_p: sec.matches(lines(_files(s, d)), p, _SECURITY).select("file_path", "line_number", "text"), f"with {_LINES} {_match_sql(_p)}")
+
+_add(
+    "sec_phone_with_test_data", lambda s, d: sec.matches(lines(_files(s, d)), sec.BY_NAME["phone"], {"skip_test_data": False}).select("file_path", "line_number", "text"),
+    f"with {_LINES} select file_path, line_number::int line_number, unnest(regexp_extract_all(line, '{sec.BY_NAME['phone'].regex}', 0, 'i')) text from l",
+)
+_add(
+    "sec_entropy_tokens", lambda s, d: sec.entropy_candidates(src.from_documents(_read(s, d, "documents"))).where("entropy >= 3.7").select("file_path", "line_number", "text", F.round("entropy", 6).alias("entropy")),
+    rf"""with l as (select concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt') file_path, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_number from documents),
+    c as (select file_path, line_number, unnest(list_concat(regexp_extract_all(line, '{sec._QUOTED}', 1), regexp_extract_all(line, '{sec._ASSIGNED}', 1))) text from l),
+    k as (select *, row_number() over () i from c where length(text) >= 20 and not regexp_matches(lower(text), '{sec._HARMLESS}')),
+    ch as (select i, unnest(string_split(text, '')) ch, length(text) n from k),
+    p as (select i, ch, count(*)::double / any_value(n) p from ch group by i, ch),
+    e as (select i, -sum(p * log2(p)) entropy from p group by i)
+    select file_path, line_number::int line_number, text, round(entropy, 6) entropy from k join e using (i) where entropy >= 3.7""",
+)
+
+
+def _pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sec.pattern_findings(_files(spark, sf_dir), _SECURITY)
+
+
+_FINDINGS = f"with {_LINES}, x as (" + " union all ".join(
+    f"select file_path, line_number, text, 'security-pattern-cwe-{p.cwe}' rule_id, '{p.severity}' severity, 'security' category, '{p.message}' message, false fixable from ({_match_sql(p)})" for p in sec.PATTERNS
+) + "), g as (select *, case severity when 'Critical' then 4 when 'High' then 3 when 'Medium' then 2 when 'Low' then 1 else 0 end r from x)"
+
+_add("security_findings", lambda s, d: _pattern_findings(s, d).select("file_path", "line_number", "rule_id", "severity", "message"), _FINDINGS + " select file_path, line_number, rule_id, severity, message from g")
+_add("security_rollup", lambda s, d: _pattern_findings(s, d).groupBy("severity", "rule_id").agg(F.count("*").alias("n")), _FINDINGS + " select severity, rule_id, count(*) n from g group by all")
+_add(
+    "security_redaction_counts", lambda s, d: sec.redaction_counts(_files(s, d), _SECURITY),
+    f"with {_LINES}, x as (" + " union all ".join(f"select '{p.group}' pattern_group, '{p.name}' pattern_name, sum(len(regexp_extract_all(line, '{p.regex}', 0, 'i'))) n from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')" for p in sec.PATTERNS) + ") select pattern_group, pattern_name, n::bigint n from x where n > 0",
+)
+
+# -- operators over findings -------------------------------------------------------------------------------------------
+
+_add("findings_by_severity", lambda s, d: ops.where(_pattern_findings(s, d), severity="High").select("file_path", "line_number", "rule_id"), _FINDINGS + " select file_path, line_number, rule_id from g where severity = 'High'")
+_add("findings_min_severity", lambda s, d: ops.where(_pattern_findings(s, d), min_severity="high").groupBy("file_path").agg(F.count("*").alias("n")), _FINDINGS + " select file_path, count(*) n from g where r >= 3 group by all")
+_add("findings_summary", lambda s, d: ops.summary(_pattern_findings(s, d)), _FINDINGS + " select severity, category, count(*) n, count(*) filter (where fixable) fixable from g group by grouping sets ((severity, category), (severity), (category), ())")
+_add("findings_highest_severity", lambda s, d: ops.highest_severity(_pattern_findings(s, d)), _FINDINGS + " select arg_max(severity, r) highest from g")
+_add("findings_by_file", lambda s, d: ops.by_file(_pattern_findings(s, d)), _FINDINGS + " select file_path, count(*) n, arg_max(severity, r) highest from g group by file_path")
+_ROWS = ", s as (select file_path, line_number, rule_id, severity, message, r, count(*) over (partition by file_path) c, dense_rank() over (partition by file_path order by line_number, rule_id, message) k from g)"
+_add(
+    "findings_top_per_file", lambda s, d: ops.top_per_file(ops.dedupe(_pattern_findings(s, d).withColumn("column_number", F.lit(0))), 5).select("file_path", "line_number", "rule_id", "message", "remaining"),
+    _FINDINGS + ", u as (select distinct file_path, line_number, rule_id, message from g), s as (select *, row_number() over (partition by file_path order by line_number, rule_id, message) k, count(*) over (partition by file_path) c from u)"
+    " select file_path, line_number, rule_id, message, greatest(c - 5, 0)::bigint remaining from s where k <= 5",
+)
+_add("findings_dedupe", lambda s, d: ops.dedupe(_pattern_findings(s, d).withColumn("column_number", F.lit(0))).select("file_path", "line_number", "rule_id", "message"), _FINDINGS + " select distinct file_path, line_number, rule_id, message from g")
+_add("findings_exit_code", lambda s, d: ops.exit_code(_pattern_findings(s, d)), _FINDINGS + " select (case when max(r) = 4 then 2 when max(r) = 3 or count(*) filter (where r = 2) > 5 then 1 else 0 end)::int exit_code from g")
+_add(
+    "findings_suppressed",
+    lambda s, d: ops.suppress(_pattern_findings(s, d), _read(s, d, "labels").where("quality = 0").join(_read(s, d, "documents"), "doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"))).groupBy("rule_id").agg(F.count("*").alias("n")),
+    _FINDINGS + " select rule_id, count(*) n from g where file_path not in (select concat(source, '/', cast(doc_id as varchar), '.txt') from documents join labels using (doc_id) where quality = 0) group by rule_id",
+)
+_add("findings_pivot", lambda s, d: ops.severity_pivot(_pattern_findings(s, d)).select("file_path", *[F.col(x).alias(x.lower()) for x in ("Critical", "High", "Medium")]), _FINDINGS + " select file_path, count(*) filter (where r = 4) critical, count(*) filter (where r = 3) high, count(*) filter (where r = 2) medium from g group by file_path")
+_add("findings_health", lambda s, d: ops.health(_pattern_findings(s, d)), _FINDINGS + " select file_path, greatest(0, 100 - sum(case r when 4 then 25 when 3 then 10 when 2 then 4 when 1 then 1 else 0 end))::bigint health from g group by file_path")
+_add("findings_sarif_levels", lambda s, d: _pattern_findings(s, d).groupBy(ops.sarif_level().alias("level")).agg(F.count("*").alias("n")), _FINDINGS + " select case when r >= 3 then 'error' when r = 2 then 'warning' else 'note' end as \"level\", count(*) n from g group by all")
+_add(
+    "findings_combined_files", lambda s, d: ops.combine(*[ops.where(_pattern_findings(s, d), severity=x) for x in ("High", "Medium")]).select("file_path").distinct(),
+    _FINDINGS + " select file_path from g where severity = 'High' union select file_path from g where severity = 'Medium'",
+)
+
+# -- files and lines ---------------------------------------------------------------------------------------------------
+
+_PATHS = ["src/app.py", "src/a.socket.py", "lib/types.d.ts", "web/x.TSX", "Dockerfile", "docs/README.md", "conf/.env", "conf/app.toml", "k8s/deploy.yaml", "bin/run.sh", "img/logo.PNG", "node_modules/x/index.js", "build/out.min.js", "api_token.txt", "a/b/c/d.rs", "x.unknown", "noext", ".hidden.py", "deep/venv/lib/z.py"]
+_VALUES = "with v as (select unnest([" + ", ".join(f"'{p}'" for p in _PATHS) + "]) file_path), n as (select file_path, regexp_extract(file_path, '([^/]*)$', 1) nm, lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '.\\.([^.]+)$', 1)) ext from v), "
+_LANG = (
+    "g as (select *, case when lower(nm) = 'dockerfile' then 'dockerfile' when lower(nm) like '%.d.ts' then 'typescript' when ext = 'py' then 'python' when ext = 'tsx' then 'typescript' when ext = 'js' then 'javascript' when ext = 'md' then 'markdown' "
+    "when ext = 'toml' then 'config' when lower(nm) = '.env' then 'config' when ext = 'yaml' then 'yaml' when ext = 'sh' then 'shell' when ext = 'rs' then 'rust' end lang from n)"
+)
+
+
+def _paths(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in _PATHS], "file_path string")
+
+
+_add("file_language", lambda s, d: _paths(s).select("file_path", src.language_of("file_path").alias("language")), _VALUES + _LANG + " select file_path, lang as language from g")
+_add(
+    "file_category", lambda s, d: _paths(s).select("file_path", src.category_of("file_path").alias("category"), src.is_sensitive("file_path").alias("sensitive"), src.is_binary("file_path").alias("is_binary")),
+    _VALUES + _LANG + " select file_path, case when lang is null then 'unknown' when lang = 'markdown' then 'documentation' when lang in ('config', 'yaml') then 'configuration' when lang in ('dockerfile', 'shell') then 'infrastructure' else 'source' end category, (regexp_matches(lower(nm), 'secret|password|key|token') or lower(nm) = '.env') sensitive, ext = 'png' is_binary from g",
+)
+_add(
+    "file_excluded", lambda s, d: _paths(s).select("file_path", src.skip_reason("file_path", F.lit(10), cfg.DEFAULTS).alias("reason")),
+    _VALUES + _LANG + " select file_path, case when nm like '.%' then 'hidden' when list_has_any(string_split(file_path, '/')[:-2], ['node_modules', 'build', 'venv']) then 'folder' when nm like '%.min.js' then 'pattern' when lang is null then 'language' end reason from g",
+)
+_add(
+    "project_info", lambda s, d: src.project_info(src.from_documents(_read(s, d, "documents"))),
+    "select coalesce(lang, 'unknown') as language, count(*) n_files, sum(strlen(text))::bigint n_bytes from documents group by coalesce(lang, 'unknown') union all select null, count(*), sum(strlen(text))::bigint from documents",
+)
+_add(
+    "files_by_language", lambda s, d: src.by_language(src.from_documents(_read(s, d, "documents"))).select("language", F.size("file_paths").alias("n"), F.get("file_paths", F.lit(0)).alias("least")),
+    "select coalesce(lang, 'unknown') as language, count(*)::int n, min(concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt')) least from documents group by all",
+)
+_add(
+    "lines_explode", lambda s, d: lines(_read(s, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest")),
+    "select doc_id, count(*) n_lines, max(length(line)) longest from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by doc_id",
+)
+_add(
+    "line_context", lambda s, d: _read(s, d, "documents").select("doc_id", context("text", F.lit(3), 1).alias("context"), line_at("text", F.lit(2)).alias("second")),
+    "select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) context, coalesce(string_split(text, chr(10))[2], '') as second from documents",
+)
+_add(
+    "text_entropy", lambda s, d: _read(s, d, "benchmark").select("item_id", F.round(entropy("text"), 6).alias("entropy")),
+    "with c as (select item_id, unnest(string_split(text, '')) ch, length(text) n from benchmark), p as (select item_id, ch, count(*)::double / any_value(n) p from c group by item_id, ch) select item_id, round(-sum(p * log2(p)), 6) entropy from p group by item_id",
+)
+
+# -- duplicates --------------------------------------------------------------------------------------------------------
+
+_NORM = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '#.*$', ''))), lambda x: x <> ''), chr(10))"
+_HASH = "sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace({n}, '[a-zA-Z_][a-zA-Z0-9_]*', 'VAR', 'g'), '[0-9]+', 'NUM', 'g'), '\\x22[^\\x22]*\\x22', 'STR', 'g'), '\\x27[^\\x27]*\\x27', 'STR', 'g'))"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dup.text_blocks(_read(spark, sf_dir, "documents"))
+
+
+def _prints_sql(table: str, key: str) -> str:
+    return f"""(with t as (select {key} block_id, regexp_extract_all({_NORM}, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\\s]') w from {table}),
+    g as (select block_id, i - 1 pos, substr(md5(array_to_string(w[i:i + 16], ' ')), 1, 8) g from (select block_id, w, unnest(generate_series(1, len(w) - 16)) i from t where len(w) >= 20)),
+    m as (select block_id, pos, min(g) over (partition by block_id order by pos rows between 3 preceding and current row) h from g)
+    select distinct block_id, h from m where pos >= 3)"""
+
+
+_PRINTS = "with f as " + _prints_sql("documents", "doc_id")
+_PAIRS = (
+    _PRINTS + ", s as (select block_id, count(*) n from f group by 1), p as (select x.block_id a, y.block_id b, count(*) shared from f x join f y on x.h = y.h and x.block_id < y.block_id group by all), "
+    "j as (select a, b, shared, shared::double / (sa.n + sb.n - shared) jaccard from p join s sa on sa.block_id = a join s sb on sb.block_id = b)"
+)
+_add("dup_normalize", lambda s, d: _read(s, d, "documents").select("doc_id", F.md5(dup.normalize("text")).alias("digest")), f"select doc_id, md5({_NORM}) digest from documents")
+_add("dup_exact_groups", lambda s, d: dup.exact_groups(_blocks(s, d)).select("similarity_hash", "block_ids", "n_blocks"), f"select {_HASH.format(n=_NORM)} similarity_hash, list_sort(list(doc_id)) block_ids, count(*) n_blocks from documents group by 1 having count(*) > 1")
+_add(
+    "dup_exact_pairs", lambda s, d: dup.exact_pairs(_blocks(s, d)).select(F.least("block_id_a", "block_id_b").alias("a"), F.greatest("block_id_a", "block_id_b").alias("b")),
+    f"with h as (select doc_id, {_HASH.format(n=_NORM)} h from documents) select x.doc_id a, y.doc_id b from h x join h y on x.h = y.h and x.doc_id < y.doc_id",
+)
+_add("dup_winnow_fingerprints", lambda s, d: dup.fingerprints(_blocks(s, d)), _PRINTS + " select block_id, h from f")
+_add("dup_jaccard_pairs", lambda s, d: dup.jaccard_pairs(dup.fingerprints(_blocks(s, d)), least=0.1).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard")), _PAIRS + " select a, b, shared, round(jaccard, 9) jaccard from j where jaccard >= 0.1")
+_add(
+    "dup_score_pairs", lambda s, d: dup.scored_pairs(_blocks(s, d)).select("a", "b", F.round("score", 9).alias("score")),
+    _PAIRS + f""", t as (select doc_id, regexp_extract_all({_NORM}, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\\s]') w from documents),
+    c as (select a, b, jaccard, ta.w wa, tb.w wb from j join t ta on ta.doc_id = a join t tb on tb.doc_id = b where jaccard >= 0.7),
+    z as (select a, b, 0.7::double * jaccard + 0.3::double * len(list_filter(wa, lambda x: list_contains(wb, x))) / greatest(len(wa), len(wb)) score from c)
+    select a, b, round(score, 9) score from z where score >= 0.8""",
+)
+_add(
+    "dup_vs_benchmark", lambda s, d: dup.jaccard_pairs(dup.fingerprints(_blocks(s, d)), dup.fingerprints(_read(s, d, "benchmark").select(F.col("item_id").alias("block_id"), F.col("text").alias("content")))).select("a", "b", "shared"),
+    _PRINTS + ", o as " + _prints_sql("benchmark", "item_id") + " select f.block_id a, o.block_id b, count(*) shared from f join o using (h) group by all",
+)
+
+# -- graphs ------------------------------------------------------------------------------------------------------------
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return p.crossJoin(p.agg(F.count("*").alias("n"))).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 17 + F.col("p_size")) % F.col("n") + 1).alias("dst"))
+
+
+_EDGES = "e as (select p_partkey src, (p_partkey * 17 + p_size) % (select count(*) from part) + 1 dst from part)"
+_REACH = f"with recursive {_EDGES}, r as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src)"
+_SCC = _REACH + ", c as (select x.src node, min(x.dst) component, count(*) n from r x join r y on x.src = y.dst and x.dst = y.src group by x.src)"
+_add("graph_edges", _part_edges, f"with {_EDGES} select src, dst from e")
+_add("graph_reach", lambda s, d: graph.reach(_part_edges(s, d)), _REACH + " select src, dst from r")
+_add("graph_scc", lambda s, d: graph.scc(_part_edges(s, d)), _SCC + " select node, component from c where n > 1")
+_add(
+    "graph_cycles", lambda s, d: graph.cycles(graph.scc(_part_edges(s, d))),
+    _SCC + " select component, list_sort(list(node)) modules, count(*) n_modules, case when count(*) = 2 then 'High' when count(*) <= 4 then 'Medium' else 'Low' end severity from c where n > 1 group by component",
+)
+_add("graph_fan_in", lambda s, d: graph.fan_in(_part_edges(s, d)), f"with {_EDGES} select dst, count(distinct src) fan_in from e group by dst")
+_add(
+    "page_link_fan_in", lambda s, d: graph.fan_in(_read(s, d, "pages").select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("dst"))),
+    "select dst, count(distinct src) fan_in from (select page_id src, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) dst from pages) group by dst",
+)
+
+# -- windows over events, as for findings that come in --------------------------------------------------------------------
+
+_add(
+    "events_first_per_key", lambda s, d: _read(s, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).where("rn = 1").select("user_id", "event_type", "event_id"),
+    "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) rn from events) where rn = 1",
+)
+_add("severity_ranks", lambda s, d: s.createDataFrame([(x,) for x in ("Info", "low", "MEDIUM", "High", "critical", "odd")], "severity string").select("severity", rank("severity").alias("r")), "select unnest(['Info', 'low', 'MEDIUM', 'High', 'critical', 'odd']) severity, unnest([0, 1, 2, 3, 4, 0]) r")
+
+fixture.register(_add, findings)
