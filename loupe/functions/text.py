@@ -31,13 +31,15 @@ def line_at(content: Column | str, line: Column) -> Column:
 
 
 def match_columns(line: Column | str, pattern: str) -> Column:
-    """array of (text, column from 1) of all matches: the places come from the lengths between them."""
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    """array of (text, column from 1) of all matches."""
+    return match_places(line, F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
+
+
+def match_places(line: Column | str, found: Column) -> Column:
+    """array of (text, column from 1) of texts found in a line, in order: each is sought after the end of the one before."""
     whole = F.col(line) if isinstance(line, str) else line
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,column:int>>").alias("out"))
-
-    folded = F.aggregate(found, start, lambda acc, m: _step(acc, m, whole))
-    return folded["out"]
+    return F.aggregate(found, start, lambda acc, m: _step(acc, m, whole))["out"]
 
 
 def _step(acc: Column, m: Column, whole: Column) -> Column:

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 SEVERITIES = ["Info", "Low", "Medium", "High", "Critical"]  # rank is the place
 CATEGORIES = ["complexity", "dead-code", "documentation", "duplicates", "imports", "performance", "security", "style"]
 
-FINDING_SCHEMA = T.StructType.fromDDL(
-    "rule_id string, category string, severity string, message string, file_path string, line_number int, column_number int, end_line int, end_column int, "
-    "context string, code_snippet string, suggestion string, cwe string, confidence double, fixable boolean, external_refs array<string>, tags array<string>"
-)
+_KINDS = {"int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array": T.ArrayType(T.StringType())}
+_TYPED = {"line_number": "int", "column_number": "int", "end_line": "int", "end_column": "int", "confidence": "double", "fixable": "boolean", "external_refs": "array", "tags": "array"}
+_FIELDS = "rule_id category severity message file_path line_number column_number end_line end_column context code_snippet suggestion cwe confidence fixable external_refs tags"
+FINDING_SCHEMA = T.StructType([T.StructField(f, _KINDS[_TYPED[f]] if f in _TYPED else T.StringType()) for f in _FIELDS.split()])
 _DEFAULTS: dict[str, object] = {
     "severity": "Medium", "category": "style", "message": "", "line_number": 1, "column_number": 0, "end_line": 0, "end_column": 0, "context": "", "code_snippet": "",
     "suggestion": "", "cwe": None, "confidence": 1.0, "fixable": False,

@@ -43,7 +43,7 @@ def register(add: Callable[..., None], _: object) -> None:
 
     section = cfg.DEFAULTS["analyzers"]
     short = lambda c: F.replace(c, F.lit("proj/"), F.lit(""))
-    place = [short(F.col("file_path")).alias("file"), F.col("line_number").alias("line"), "rule_id", "severity"]
+    place = lambda: [short(F.col("file_path")).alias("file"), F.col("line_number").alias("line"), "rule_id", "severity"]
 
     def over(pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda s, d: pick(*project(s))
@@ -53,18 +53,18 @@ def register(add: Callable[..., None], _: object) -> None:
         "ast_complexity", over(lambda f, x: x.where("kind = 'function'").select("name", F.col("attrs")["complexity"].cast("int").alias("complexity"), F.col("attrs")["depth"].cast("int").alias("depth"))),
         _values("name, complexity, depth", [("run", 1, 0), ("first", 7, 5), ("BadMethod", 1, 0), ("second", 1, 0), ("unused_helper", 1, 0), ("third", 1, 0)]),
     )
-    add("complexity_findings", over(lambda f, x: visitors.complexity_findings(x, section["visitors"]).select(*place)), _values("file, line, rule_id, severity", [("pkg/alpha.py", 8, "python-complexity-nesting", "Medium")]))
-    add("naming_findings", over(lambda f, x: visitors.naming_findings(x).select(*place)), _values("file, line, rule_id, severity", [("pkg/alpha.py", 6, "python-style-constant-naming", "Low"), ("pkg/beta.py", 3, "python-style-class-naming", "Medium"), ("pkg/beta.py", 4, "python-style-function-naming", "Medium")]))
+    add("complexity_findings", over(lambda f, x: visitors.complexity_findings(x, section["visitors"]).select(*place())), _values("file, line, rule_id, severity", [("pkg/alpha.py", 8, "python-complexity-nesting", "Medium")]))
+    add("naming_findings", over(lambda f, x: visitors.naming_findings(x).select(*place())), _values("file, line, rule_id, severity", [("pkg/alpha.py", 6, "python-style-constant-naming", "Low"), ("pkg/beta.py", 3, "python-style-class-naming", "Medium"), ("pkg/beta.py", 4, "python-style-function-naming", "Medium")]))
     add("imports_unused", over(lambda f, x: visitors.unused_imports(x).select(short(F.col("file_path")).alias("file"), "name")), _values("file, name", [("main.py", "pickle"), ("pkg/alpha.py", "json")]))
-    add("javascript_findings", over(lambda f, x: visitors.javascript_findings(f).select(*place)), _values("file, line, rule_id, severity", [("web/app.js", 1, "js-style-var-usage", "Medium"), ("web/app.js", 2, "js-style-console-log", "Low")]))
-    add("ast_security_findings", over(lambda f, x: security.call_findings(x).select(*place)), _values("file, line, rule_id, severity", [("main.py", 2, "python-security-pickle-import", "Medium"), ("main.py", 7, "python-security-eval", "Critical")]))
-    add("core_security_findings", over(lambda f, x: visitors.core_security_findings(x).select(*place)), _values("file, line, rule_id, severity", [("main.py", 2, "python-security-pickle-import", "Medium"), ("main.py", 6, "python-security-os-system", "High"), ("main.py", 7, "python-security-eval", "High")]))
+    add("javascript_findings", over(lambda f, x: visitors.javascript_findings(f).select(*place())), _values("file, line, rule_id, severity", [("web/app.js", 1, "js-style-var-usage", "Medium"), ("web/app.js", 2, "js-style-console-log", "Low")]))
+    add("ast_security_findings", over(lambda f, x: security.call_findings(x).select(*place())), _values("file, line, rule_id, severity", [("main.py", 2, "python-security-pickle-import", "Medium"), ("main.py", 7, "python-security-eval", "Critical")]))
+    add("core_security_findings", over(lambda f, x: visitors.core_security_findings(x).select(*place())), _values("file, line, rule_id, severity", [("main.py", 2, "python-security-pickle-import", "Medium"), ("main.py", 6, "python-security-os-system", "High"), ("main.py", 7, "python-security-eval", "High")]))
     add(
         "module_edges", over(lambda f, x: graph.edges(graph.imports(x), graph.modules(f, "proj")).select("src", "dst")),
         _values("src, dst", [("main", "pkg"), ("pkg.alpha", "pkg.beta"), ("pkg.beta", "pkg.gamma"), ("pkg.gamma", "pkg.alpha")]),
     )
-    add("circular_findings", over(lambda f, x: graph.circular_findings(f, x, {"root": "proj"}).select(*place)), _values("file, line, rule_id, severity", [("pkg/alpha.py", 3, "circular-import-detected", "Medium"), ("pkg/beta.py", 1, "circular-import-detected", "Medium"), ("pkg/gamma.py", 1, "circular-import-detected", "Medium")]))
-    add("dead_symbols", over(lambda f, x: deadcode.deadcode_findings(f, x, section["deadcode"]).select(*place)), _values("file, line, rule_id, severity", [("pkg/alpha.py", 2, "dead-code-import", "Low"), ("pkg/beta.py", 4, "dead-code-function", "Medium")]))
+    add("circular_findings", over(lambda f, x: graph.circular_findings(f, x, {"root": "proj"}).select(*place())), _values("file, line, rule_id, severity", [("pkg/alpha.py", 3, "circular-import-detected", "Medium"), ("pkg/beta.py", 1, "circular-import-detected", "Medium"), ("pkg/gamma.py", 1, "circular-import-detected", "Medium")]))
+    add("dead_symbols", over(lambda f, x: deadcode.deadcode_findings(f, x, section["deadcode"]).select(*place())), _values("file, line, rule_id, severity", [("pkg/alpha.py", 2, "dead-code-import", "Low"), ("pkg/beta.py", 4, "dead-code-function", "Medium")]))
     add(
         "dead_symbols_all", over(lambda f, x: deadcode.dead_symbols(f, x, section["deadcode"] | {"exclude_public_api": False}).select("name", "symbol_type")),
         _values("name, symbol_type", [("json", "import"), ("BadMethod", "function"), ("first", "function"), ("MAX_SIZE", "variable"), ("limit", "variable"), ("second", "function"), ("unused_helper", "function"), ("bad_name", "class"), ("third", "function")]),
