@@ -198,38 +198,75 @@ def fit_crf(w: Words, tags: np.ndarray, rounds: int = 150, rate: float = 0.5, l2
     return m
 
 
-def token_tags(texts: V.Texts, toxic: np.ndarray, w: Words, least_docs: int = 5, least_odds: float = 8.0, least_z: float = 5.0) -> np.ndarray:
-    """Tags from labels of documents: in toxic ones, the words that stand in far more toxic than other documents, or begin like such words."""
-    owner = w.tok.owner
-    na, nb = max(1, int((toxic > 0).sum())), max(1, int((toxic == 0).sum()))
-    out = np.zeros(len(w.h), bool)
-    for h in (w.h, w.begin):
-        _, once = np.unique(V.mix(h + V.mix(owner.astype(np.uint64))), return_index=True)
-        u, inv = np.unique(h[once], return_inverse=True)
-        bad = toxic[owner[once]] > 0
-        a, b = np.bincount(inv, bad, len(u)), np.bincount(inv, ~bad, len(u))
+Pieces = list[tuple[V.Texts, np.ndarray]]
+
+
+def toxic_hashes(pieces: Pieces, least_docs: int = 5, least_odds: float = 8.0, least_z: float = 5.0) -> list[np.ndarray]:
+    """Hashes of the words, and of how words begin, that stand in far more toxic than other documents."""
+    seen: tuple[list, list] = ([], [])
+    for t, y in pieces:
+        w = words(t)
+        owner = w.tok.owner
+        for out, h in zip(seen, (w.h, w.begin), strict=True):
+            _, once = np.unique(V.mix(h + V.mix(owner.astype(np.uint64))), return_index=True)
+            u, inv = np.unique(h[once], return_inverse=True)
+            bad = y[owner[once]] > 0
+            out.append((u, np.bincount(inv, bad, len(u)), np.bincount(inv, ~bad, len(u))))
+    na, nb = (max(1, sum(int((y == v).sum()) for _, y in pieces)) for v in (1, 0))
+    found = []
+    for parts in seen:
+        u, inv = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        a, b = (np.bincount(inv, np.concatenate([x[i] for x in parts]), len(u)) for i in (1, 2))
         pool = (a + b) / (na + nb)
         z = (a / na - b / nb) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / na + 1 / nb), 1e-12))
         odds = (a + 0.5) / (na + 1) / ((b + 0.5) / (nb + 1))
-        out |= np.isin(h, u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)])
-    return (out & (toxic[owner] > 0)).astype(np.int64)
+        found.append(u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)])
+    return found
 
 
-def fit_labelled(texts: V.Texts, toxic: np.ndarray, others: int = 3) -> Crf:
-    """From texts with labels (0 or 1): tags by token_tags; the field from the sentences with a tag and others times as many without; the score from all texts."""
-    w = words(texts)
-    if not len(w.h):
+def token_tags(w: Words, toxic: np.ndarray, bad: list[np.ndarray]) -> np.ndarray:
+    """Tags from labels of documents: in toxic ones, the words that toxic_hashes has, or that begin like such words."""
+    return ((np.isin(w.h, bad[0]) | np.isin(w.begin, bad[1])) & (toxic[w.tok.owner] > 0)).astype(np.int64)
+
+
+def fit_labelled(texts: list[str], toxic: np.ndarray, others: int = 3) -> Crf:
+    """From texts with labels (0 or 1): tags by token_tags; the field from the sentences with a tag and others times as many without; the score from all texts.
+
+    Words are found anew, piece by piece of texts, in each of four passes: those of all texts at once would need many times the memory of the texts.
+    """
+    pieces: Pieces = []
+    at = 0
+    for t in V.pieces(pa.array(texts, pa.string())):
+        pieces.append((t, toxic[at : at + len(t)]))
+        at += len(t)
+    bad = toxic_hashes(pieces)
+    tagged = []  # of each piece, which chains have a tag
+    for t, y in pieces:
+        w = words(t)
+        tagged.append(np.add.reduceat(token_tags(w, y, bad), w.first) > 0 if len(w.h) else np.zeros(0, bool))
+    n_has, n_rest = sum(int(x.sum()) for x in tagged), sum(int((~x).sum()) for x in tagged)
+    stride = max(1, n_rest // max(1, others * n_has))
+    parts, tags, rank = [], [], 0
+    for (t, y), has in zip(pieces, tagged, strict=True):
+        w = words(t)
+        keep, rest = has.copy(), np.flatnonzero(~has)
+        keep[rest[(rank + np.arange(len(rest))) % stride == 0]] = True
+        rank += len(rest)
+        part, of = chains(w, keep)
+        parts.append(part)
+        tags.append(token_tags(w, y, bad)[of])
+    if not any(len(p.h) for p in parts):
         return Crf()
-    tags = token_tags(texts, toxic, w)
-    has = np.add.reduceat(tags, w.first) > 0
-    rest = np.flatnonzero(~has)
-    keep = has.copy()
-    keep[rest[:: max(1, len(rest) // max(1, others * int(has.sum())))]] = True
-    part, at = chains(w, keep)
-    m = fit_crf(part, tags[at])
-    p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
-    if tags.any():
-        m.doc = fit_doc_score(np.bincount(w.tok.owner, p, len(texts)), w.tok.count, toxic)
+    h, begin, shape, head = (np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "begin", "shape", "head"))
+    m = fit_crf(Words(None, h, begin, np.flatnonzero(head), shape, head), np.concatenate(tags))
+    if n_has:
+        expected, count = [], []
+        for t, _ in pieces:
+            w = words(t)
+            p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
+            expected.append(np.bincount(w.tok.owner, p, len(t)))
+            count.append(w.tok.count)
+        m.doc = fit_doc_score(np.concatenate(expected), np.concatenate(count), toxic)
     return m
 
 
@@ -243,7 +280,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 8000)
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train_rows / n))
     # the sample has a bounded number of rows, so that it can be sent to all tasks
     got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").toPandas().sort_values(["doc_id", "text"])
-    return fit_labelled(V.of(got["text"].tolist()), got["toxic"].to_numpy()) if len(got) else Crf()
+    return fit_labelled(got["text"].tolist(), got["toxic"].to_numpy()) if len(got) else Crf()
 
 
 def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
