@@ -38,7 +38,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, budget
     all, or None: as many as docs has. A null source is a source of its own, named
     by "" in targets. Texts without words have 0 tokens and go with the key they
     have. Rows of equal key (one doc_id twice, or several without one) are taken
-    together or not at all. A source without tokens gives one epoch if it has a budget.
+    together or not at all. Where all shares are 0 no tokens are taken. A source without
+    tokens gives one epoch if it has a budget.
     Columns that would clash get underscores. An empty table gives none.
     """
     s, n, w, k, b, c = (unused(docs, x) for x in ("mix_source", "n_tokens", "weight", "sample_key", "key_bucket", "copies"))
@@ -54,7 +55,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, budget
         pairs = docs.sparkSession.createDataFrame([(x, float(y)) for x, y in targets.items()] or [("", 0.0)], "s string, share double")
         totals = totals.join(pairs, "s", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     sums = totals.agg(F.sum("t").alias("all"), F.sum("share").alias("shares"))
-    want = F.floor(F.col("share") / F.col("shares") * (F.lit(budget) if budget is not None else F.col("all")))
+    want = F.floor(F.try_divide("share", "shares") * (F.lit(budget) if budget is not None else F.col("all")))
     budgets = totals.crossJoin(sums).withColumn("want", F.coalesce(want, F.lit(0)))
     budgets = budgets.withColumn("epochs", F.when(F.col("t") > 0, F.floor(F.col("want") / F.col("t"))).otherwise((F.col("want") > 0).cast("long")))
     budgets = budgets.withColumn("rest", F.greatest(F.col("want") - F.col("epochs") * F.col("t"), F.lit(0))).select("s", "epochs", "rest")
