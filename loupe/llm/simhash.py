@@ -2,9 +2,10 @@
 
 A document's signature has 32 bytes. Signatures that differ in at most h bits
 agree in at least 32 - h byte positions, the guaranteed minimum. The index posts
-each document under tuples of byte positions, so that a posting list is short at
-any corpus size; within a list the shared positional bytes of pairs are tallied,
-pairs with the minimum are verified by their Hamming distance, and a list's
+each document under the bytes at h + 1 positions, so that every such pair shares
+a list at any corpus size; a long list is split into pairs of blocks. Within a
+list all pairs are compared on half of their bits, what is left is tallied for
+the minimum of shared bytes and verified by Hamming distance, and a list's
 groups leave it as edges to one member, never as all pairs.
 """
 
@@ -22,8 +23,8 @@ from loupe.llm.common import components, materialize, read, small_batches, unuse
 
 BYTES = 32
 MAX_BITS = 30
+LONGEST = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def signatures(texts: V.Texts, least_words: int = 16) -> np.ndarray:
@@ -70,78 +71,109 @@ def _signature_udf(text: pa.Array) -> pa.Array:
     return fixed.cast(pa.binary())
 
 
-def tuples(n: int, width: int | None = None) -> np.ndarray:
-    """The tuples of byte positions under which n signatures are posted.
+def tuples(n: int, max_bits: int = MAX_BITS) -> np.ndarray:
+    """The tuples of byte positions under which n signatures are posted: one of h + 1 positions each.
 
-    Their width grows with log n, so that lists of unrelated documents stay short;
-    their number grows as the chance falls that near copies agree in all of a tuple.
+    h bits touch at most h of them, so at any n a pair within h bits agrees in at
+    least one; longer tuples would have shorter lists, but miss pairs.
     """
-    width = width or (2 if n < 20_000 else 3 if n < 1_000_000 else 4 if n < 200_000_000 else 5)
-    rng = np.random.default_rng(5)
-    perms = [rng.permutation(BYTES) for _ in range({2: 2, 3: 4, 4: 10, 5: 20}[width])]
-    return np.concatenate([p[: BYTES // width * width].reshape(-1, width) for p in perms])
+    if not 0 <= max_bits < BYTES:
+        raise ValueError(f"signatures of {BYTES} bytes that differ in {max_bits} bits may share none")
+    return np.arange(max_bits + 1)[:, None]
+
+
+def _near(a: np.ndarray, b: np.ndarray | None, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The index pairs of all rows of a and b (None: of a and its later rows) within max_bits; rows are 4 words."""
+    cols, words = (a if b is None else b), np.ascontiguousarray((a if b is None else b).T)
+    wide = 4096
+    for i in range(0, len(a), 32):
+        rows = a[i : i + 32]
+        for j in range(i if b is None else 0, len(cols), wide):
+            part = words[:, j : j + wide]
+            d = np.bitwise_count(rows[:, :1] ^ part[0]) + np.bitwise_count(rows[:, 1:2] ^ part[1])  # at most 128
+            at = np.flatnonzero(d <= max_bits)
+            x, y = at // part.shape[1] + i, at % part.shape[1] + j
+            if b is None:
+                x, y = x[y > x], y[y > x]
+            diff = a[x] ^ cols[y]
+            enough = np.count_nonzero(diff.view(np.uint8) == 0, axis=1) >= BYTES - max_bits
+            near = enough & (np.bitwise_count(diff).sum(1, dtype=np.int64) <= max_bits)
+            if near.any():
+                yield x[near], y[near]
+
+
+def _join(lead: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """lead, the least member of each row's group, after the groups of i and j are joined pair by pair."""
+    while True:
+        low, high = np.minimum(lead[i], lead[j]), np.maximum(lead[i], lead[j])
+        if (low == high).all():
+            return lead
+        np.minimum.at(lead, high, low)
+        while (lead[lead] != lead).any():
+            lead = lead[lead]
+
+
+def _groups(sig: np.ndarray, max_bits: int, second: np.ndarray | None = None) -> np.ndarray:
+    """The index of each row's group leader; rows are joined if they differ in at most max_bits bits.
+
+    Every pair is compared; with second, every pair of a row that it marks and one that it doesn't.
+    """
+    lead, words = np.arange(len(sig)), sig.view(np.uint64)
+    if second is None or not second.any():
+        for i, j in _near(words, None, max_bits):
+            lead = _join(lead, i, j)
+    else:
+        p, q = np.flatnonzero(~second), np.flatnonzero(second)
+        for i, j in _near(words[p], words[q], max_bits):
+            lead = _join(lead, p[i], q[j])
+    return lead
 
 
-def _groups(sig: np.ndarray, max_bits: int) -> np.ndarray:
-    """The index of each row's group leader; rows are joined if they share the guaranteed bytes and then differ in at most max_bits bits.
+def near_edges(sigs: DataFrame, max_bits: int = MAX_BITS, longest: int = LONGEST) -> DataFrame:
+    """(a, b) edges that connect the near-duplicate signatures of sigs (id, sig), ids and signatures distinct.
 
-    Every row is compared, as part of a frontier, with all rows that no group has
-    yet, so that groups are those of all pairs.
+    A list of more than longest is cut into blocks, and each pair of blocks is a list of its own.
     """
-    n = len(sig)
-    lead = np.full(n, -1)
-    free = np.arange(n)
-    while len(free):
-        seed, free = free[0], free[1:]
-        lead[seed] = seed
-        front = [seed]
-        while front and len(free):
-            x = sig[free] ^ sig[front.pop()]
-            enough = np.count_nonzero(x == 0, axis=1) >= BYTES - max_bits
-            near = np.zeros(len(free), bool)
-            near[enough] = _POP[x[enough]].sum(1, dtype=np.int64) <= max_bits
-            lead[free[near]] = seed
-            front.extend(free[near])
-            free = free[~near]
-    return lead
+    sets = tuples(0, max_bits)[:, 0]
 
+    def matrix(b: pa.RecordBatch, at: int) -> np.ndarray:
+        return np.frombuffer(b"".join(b.column(at).to_pylist()), np.uint8).reshape(-1, BYTES)
 
-def near_edges(sigs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) edges that connect the near-duplicate signatures of sigs (id, sig), ids and signatures distinct."""
-    sets = tuples(sigs.count())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(sets) * 256, np.int64)
+        for b in batches:
+            sums += np.bincount((matrix(b, 0)[:, sets] + np.arange(len(sets)) * 256).ravel(), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["post", "n"])
+
+    blocks = np.zeros(len(sets) * 256, np.int64)
+    for post, n in sigs.select("sig").mapInArrow(count, "post long, n long").groupBy("post").agg(F.sum("n")).collect():
+        blocks[post] = -(-n // longest) if n > 1 else 0
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            s = np.frombuffer(b.column(1).cast(pa.binary(BYTES)).buffers()[1], np.uint8)[b.column(1).offset * 0 :].reshape(-1, BYTES)[-n:] if n else np.zeros((0, BYTES), np.uint8)
-            for k in range(0, len(sets), 8):
-                part = sets[k : k + 8]
-                key = np.zeros((n, len(part)), np.int64)
-                for j in range(part.shape[1]):
-                    key = (key << 8) | s[:, part[:, j]]
-                key |= np.arange(k, k + len(part), dtype=np.int64)[None, :] << 40
-                take = pa.array(np.repeat(np.arange(n), len(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(take), b.column(1).take(take)], ["key", "id", "sig"])
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_out, b_out = [], []
-            posts = b.column(0)
-            off = posts.offsets.to_numpy()
-            ids, blobs = posts.values.field(0).to_numpy(), posts.values.field(1)
-            sig = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, BYTES)
-            for s, e in zip(off[:-1], off[1:], strict=True):
-                x = ids[s:e]
-                lead = _groups(sig[s:e], max_bits)
-                other = lead != np.arange(len(x))
-                a_out.append(x[other])
-                b_out.append(x[lead[other]])
-            cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([cat(a_out), cat(b_out)], ["a", "b"])
-
-    posted = sigs.select("id", "sig").mapInArrow(post, "key long, id long, sig binary")
-    long = posted.groupBy("key").agg(F.collect_list(F.struct("id", "sig")).alias("posts")).where(F.size("posts") > 1)
-    return long.select("posts").mapInArrow(lists, "a long, b long").distinct()
+            s = matrix(b, 1)
+            ids = b.column(0).to_numpy()
+            own = V.mix(ids.view(np.uint64) + np.uint64(1))
+            for k in sets:
+                at = k * 256 + s[:, k].astype(np.int64)
+                times = blocks[at]
+                row = np.repeat(np.arange(len(s)), times)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                mine = (own[row] % times[row].astype(np.uint64)).astype(np.int64)
+                key = (at[row] << 40) | (np.minimum(mine, other) << 20) | np.maximum(mine, other)
+                words = np.ascontiguousarray(s[row]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[row], mine > other, *words.T)], ["key", "id", "second", "w0", "w1", "w2", "w3"])
+
+    def lists(t: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        sig = np.stack([t[f"w{i}"].to_numpy() for i in range(4)], axis=1).view(np.uint8)
+        lead = _groups(sig, max_bits, t["second"].to_numpy())
+        other = lead != np.arange(len(ids))
+        return pa.table({"a": ids[other], "b": ids[lead[other]]})
+
+    posted = sigs.select("id", "sig").mapInArrow(post, "key long, id long, second boolean, w0 long, w1 long, w2 long, w3 long")
+    return posted.groupBy("key").applyInArrow(lists, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
