@@ -1,8 +1,9 @@
 """WARC files: a writer, and a reader that salvages damaged files.
 
 After a record that fails a check the reader looks for the next place where a
-valid one begins: a gzip member that inflates to a version line, or in a plain
-file a version line whose record is whole. What lies between is quarantined and
+valid one begins: a version line whose record is whole, in a plain file, in the
+bytes of a gzip member, or in what a cut or corrupt member gave before its error;
+after such a member also the next member. What lies between is quarantined and
 logged as a gap, and every later record is recovered.
 """
 
@@ -22,6 +23,7 @@ from loupe.llm.common import read, small_batches
 
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 BLOB_BYTES = 4 << 20
 
 
@@ -52,13 +54,19 @@ def page_record(page_id: int | None, url: str | None, html: str | None) -> bytes
 
 @dataclass
 class Found:
-    """A record (fields and block), or with fields None a gap, of the bytes from start to end."""
+    """A record (fields and block), or with fields None a gap, of the bytes from start to end.
+
+    What is in a gzip member has the member's start and end, and its own place
+    in the inflated bytes as inner_start and inner_end; block is then also set for a gap.
+    """
 
     start: int
     end: int
     fields: dict[str, str] | None = None
     block: bytes = b""
     reason: str = ""
+    inner_start: int | None = None
+    inner_end: int | None = None
 
 
 def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -68,8 +76,10 @@ def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes,
     if not m:
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0 or end - at > 1 << 20:
+    if end < 0:
         raise ValueError("no end of header")
+    if _VERSION_LINE.search(data, m.end() - 2, end + 2):  # the header is cut, and another record begins
+        raise ValueError("bad header line")
     fields = {}
     for line in data[m.end() : end].split(b"\r\n"):
         k, sep, v = line.partition(b":")
@@ -90,36 +100,85 @@ def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes,
     return fields, block, after + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a member gives, where it ends, and the check that fails; then it ends with its last good byte."""
     z = zlib.decompressobj(31)
     view = memoryview(data)
     out, i = [], at
-    try:
-        while not z.eof:
-            part = view[i : i + 65536]
-            if not len(part):
-                raise ValueError("member is cut")
+    while not z.eof:
+        part = view[i : i + 16384]
+        if not len(part):
+            return b"".join(out), i, "member is cut"
+        before = z.copy()
+        try:
             out.append(z.decompress(part))
-            if i == at and not b"WARC/1.".startswith(out[0][:7]) and not out[0].startswith(b"WARC/1."):
-                raise ValueError("no version line")
-            i += len(part)
-    except zlib.error as e:
-        raise ValueError("bad gzip member") from e
-    return b"".join(out), i - len(z.unused_data)
-
-
-def _record_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    if data[at : at + 3] == _MAGIC:
-        raw, end = _inflate(data, at)
-        got, k = [], 0
-        while k < len(raw):
-            fields, block, k = _parse(raw, k)
-            got.append((fields, block))
-        if not got:
-            raise ValueError("empty member")
-        return got, end
-    fields, block, end = _parse(data, at)
-    return [(fields, block)], end
+        except zlib.error:
+            break
+        i += len(part)
+    else:
+        return b"".join(out), i - len(z.unused_data), ""
+    z, step = before, 8192  # an error takes all that its call would have given: the good bytes by halves, then what the bad one gives
+    while step:
+        part, trial = view[i : i + step], z.copy()
+        try:
+            out.append(trial.decompress(part))
+            z, i = trial, i + len(part)
+        except zlib.error:
+            pass
+        step //= 2
+    feed: bytes | memoryview = view[i : i + 1]
+    try:
+        while got := z.decompress(feed, 1):
+            out.append(got)
+            feed = z.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out), i, "bad gzip member"
+
+
+def _records(raw: bytes, corrupt: bool) -> list[Found]:
+    """The whole records of a member's bytes and the gaps between them, by their inner places.
+
+    Of corrupt bytes only blocks with a digest are known to be whole; their headers are not, which is given as reason.
+    """
+    found, at, gap, reason = [], 0, None, ""
+    while at < len(raw):
+        try:
+            fields, block, end = _parse(raw, at)
+            if corrupt and not any(k.lower() == "warc-block-digest" and v.startswith("sha1:") and len(v) == 45 for k, v in fields.items()):
+                raise ValueError("no digest in a bad member")
+        except ValueError as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            m = _VERSION.search(raw, at + 1)
+            at = m.start() if m else len(raw)
+            continue
+        if gap is not None:
+            found.append(Found(0, 0, None, raw[gap:at], reason, gap, at))
+            gap = None
+        found.append(Found(0, 0, fields, block, "header not verified" if corrupt else "", at, end))
+        at = end
+    if gap is not None:
+        found.append(Found(0, 0, None, raw[gap:], reason, gap, len(raw)))
+    return found
+
+
+def _member_at(data: bytes, at: int) -> tuple[list[Found], int, str]:
+    """The records and gaps of a member up to where it ends; of a broken one up to its last whole record."""
+    raw, end, error = _inflate(data, at)
+    corrupt = error == "bad gzip member"
+    found = _records(raw, corrupt)
+    if not any(f.fields is not None for f in found) or corrupt and len(found) == 1:  # a single record's damage is in its header
+        return [], end, error or (found[0].reason if found else "empty member")
+    if error:
+        while found[-1].fields is None:
+            found.pop()
+        z = zlib.decompressobj(31)
+        z.decompress(memoryview(data)[at:end], found[-1].inner_end)
+        end -= len(z.unconsumed_tail)
+    for f in found:
+        f.start, f.end = at, end
+    return found, end, error
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -131,47 +190,61 @@ def _next_start(data: bytes, at: int) -> int:
 def salvage(data: bytes) -> Iterator[Found]:
     """All whole records of a file in order, compressed or plain, and the gaps between them.
 
-    Every byte is in one record or one gap. An empty file has neither.
+    Every byte is in one gap or one record, or in a member with records; every inflated
+    byte of such a member, up to the last record if it is broken, is in one record or one
+    gap as well. An empty file has neither.
     """
     at, gap, reason = 0, None, ""
     while at < len(data):
-        try:
-            got, end = _record_at(data, at)
-        except ValueError as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            at = _next_start(data, at + 1)
-            continue
-        if gap is not None:
+        if data[at : at + 3] == _MAGIC:
+            found, end, error = _member_at(data, at)
+            if not found:
+                if gap is None:
+                    gap, reason = at, error
+                at = _next_start(data, at + 1)
+                continue
+        else:
+            try:
+                fields, block, end = _parse(data, at)
+            except ValueError as e:
+                if gap is None:
+                    gap, reason = at, str(e)
+                at = _next_start(data, at + 1)
+                continue
+            found, error = [Found(at, end, fields, block)], ""
+        if gap is not None and gap < at:
             yield Found(gap, at, reason=reason)
-            gap = None
-        for fields, block in got:
-            yield Found(at, end, fields, block)
+        gap = None
+        yield from found
         at = end
+        if error and at < len(data):
+            gap, reason = at, error
+            at = _next_start(data, at)
     if gap is not None:
         yield Found(gap, len(data), reason=reason)
 
 
-_SCHEMA = "file string, kind string, start long, end long, reason string, warc_type string, url string, page_id long, fields map<string,string>, block binary"
+_SCHEMA = "file string, kind string, start long, end long, inner_start long, inner_end long, reason string, warc_type string, url string, page_id long, fields map<string,string>, block binary"
 
 
 def _salvage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-    names = ["file", "kind", "start", "end", "reason", "warc_type", "url", "page_id", "fields", "block"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = ["file", "kind", "start", "end", "inner_start", "inner_end", "reason", "warc_type", "url", "page_id", "fields", "block"]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     for b in batches:
         for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            rows, size = [], 0
-            for f in salvage(data.as_py() or b""):
+            rows, size, blob = [], 0, data.as_py() or b""
+            for f in salvage(blob):
+                at = (f.start, f.end, f.inner_start, f.inner_end)
                 if f.fields is None:
-                    rows.append((name, "gap", f.start, f.end, f.reason, None, None, None, None, data.as_py()[f.start : f.end]))
+                    rows.append((name, "gap", *at, f.reason, None, None, None, None, blob[f.start : f.end] if f.inner_start is None else f.block))
                 else:
                     low = {k.lower(): v for k, v in f.fields.items()}
                     page = low.get("x-page-id", "")
-                    rows.append((name, "record", f.start, f.end, None, low.get("warc-type"), low.get("warc-target-uri"), int(page) if page.lstrip("-").isdigit() else None, list(f.fields.items()), f.block))
+                    rows.append((name, "record", *at, f.reason or None, low.get("warc-type"), low.get("warc-target-uri"), int(page) if page.lstrip("-").isdigit() else None, list(f.fields.items()), f.block))
                 size += len(rows[-1][-1])
                 if size > BLOB_BYTES:
                     yield flush(rows)
@@ -181,7 +254,7 @@ def _salvage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def salvage_blobs(blobs: DataFrame) -> DataFrame:
-    """Records and gaps of blobs (file, data). kind is record or gap; block is the record's block or the quarantined bytes; start and end are byte offsets in the (compressed) file. Null and empty data give no rows."""
+    """Records and gaps of blobs (file, data). kind is record or gap; a record has a reason only if it is whole by its digest in a member that is corrupt, so that its header may be wrong; block is the record's block or the quarantined bytes; start and end are byte offsets in the (compressed) file, inner_start and inner_end in the inflated bytes of a member with records. Null and empty data give no rows."""
     small_batches(blobs.sparkSession)
     blobs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return blobs.select(F.col("file").cast("string"), F.col("data").cast("binary")).mapInArrow(_salvage_batches, _SCHEMA)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
-from loupe.llm import simhash
+from loupe.llm import simhash, warc
 
 
 @pytest.mark.parametrize("longest", [simhash.LONGEST, 5])
@@ -23,3 +25,38 @@ def test_every_pair_within_the_bits_is_joined(spark, longest):
     assert got == {(i, i + n) for i in range(n)}
     rows = [(i + k * 40, bytes(x)) for k, sig in enumerate((a[:40], far[:40])) for i, x in enumerate(sig)]
     assert simhash.near_edges(spark.createDataFrame(rows, "id long, sig binary"), longest=longest).count() == 0
+
+
+def pages_of(data: bytes) -> list[str]:
+    return [f.fields["X-Page-Id"] for f in warc.salvage(data) if f.fields]
+
+
+def test_whole_records_of_a_damaged_member():
+    rng = np.random.default_rng(3)
+    raw = [warc.page_record(i, f"http://a/{i}", rng.bytes(3000).hex()) for i in range(12)]
+    bad = raw[1].replace(b"sha1:", b"sha1:0", 1)[: len(raw[1]) + 1].replace(b"Content-Length", b"Content_Length", 1)
+    digest = raw[2].replace(b"\r\n\r\n", b"\r\n\r\n!", 1).replace(b"HTTP", b"HTT", 1)
+    one = warc.member(raw[0] + bad + digest + raw[3] + b"tail")
+    found = list(warc.salvage(one))
+    assert [f.fields["X-Page-Id"] if f.fields else f.reason for f in found] == ["0", "bad content length", "3", "no version line"]
+    assert all((f.start, f.end) == (0, len(one)) for f in found)
+    assert [f.inner_end for f in found[:-1]] == [f.inner_start for f in found[1:]] and found[1].block == bad + digest
+    packed, sizes = warc.member(b"".join(raw)), np.cumsum([len(r) for r in raw])
+    for at in range(20, len(packed), 997):
+        inflated = len(zlib.decompressobj(31).decompress(packed[:at]))
+        whole = [str(i) for i in np.flatnonzero(sizes <= inflated)]
+        assert pages_of(packed[:at]) == whole  # cut
+        assert pages_of(packed[:at] + warc.member(raw[0])) == [*whole, "0"]
+        flipped = bytearray(packed)
+        flipped[at] ^= 0x55
+        got = pages_of(bytes(flipped))
+        assert set(whole) <= set(got)  # and those after the flip where the stream goes on
+        found = list(warc.salvage(bytes(flipped) + raw[5]))
+        spans = list(dict.fromkeys((f.start, f.end) for f in found))
+        assert found[-1].fields["X-Page-Id"] == "5" and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_long_headers_are_read():
+    raw = [warc.page_record(1, "http://a/" + "x" * (2 << 20), "one"), warc.page_record(2, "http://a/2", "two")]
+    assert pages_of(b"".join(raw)) == pages_of(warc.member(raw[0]) + warc.member(raw[1])) == ["1", "2"]
+    assert pages_of(raw[0][:1000] + b"\r\n" + raw[1]) == ["2"]
