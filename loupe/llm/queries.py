@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_groups": simhash.op5_simhash_groups,
     "op6_sentencepiece_samples": sentencepiece.op6_sentencepiece_samples,
     "op7_warc_salvage": warc.op7_warc_salvage,
+    "op7_warc_salvage_log": warc.op7_warc_salvage_log,
     "op8_learned_partitions_ann": vectors.op8_learned_partitions_ann,
     "op9_quality_gam": quality.op9_quality_gam,
     "op10_toxic_spans": toxicity.op10_toxic_spans,

@@ -266,12 +266,34 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return salvage_blobs(files.select(F.col("path").alias("file"), F.col("content").alias("data")))
 
 
-def pages_to_warc(pages: DataFrame, junk_every: int = 0) -> DataFrame:
+def _damaged(raw: bytes, kind: str) -> bytes:
+    """A broken write of a record: its member cut or with a wrong byte, or whole members of a record with a wrong body, digest or header."""
+    m = bytearray(member(raw))
+    head = raw.index(b"\r\n\r\n") + 4
+    if kind == "cut":
+        return bytes(m[: len(m) // 2])
+    if kind == "stream":
+        m[len(m) // 2] ^= 0xFF
+        return bytes(m)
+    if kind == "body":
+        return member(raw[:head] + bytes([raw[head] ^ 1]) + raw[head + 1 :])
+    if kind == "digest":
+        at = raw.index(b"WARC-Block-Digest: sha1:") + 24
+        return member(raw[:at] + (b"1" if raw[at : at + 1] == b"0" else b"0") + raw[at + 1 :])
+    return member(raw[: head - 4].replace(b"Content-Length: ", b"Content-Length: ?") + raw[head - 4 :])
+
+
+DAMAGE = ("cut", "stream", "body", "digest", "header")
+
+
+def pages_to_warc(pages: DataFrame, junk_every: int = 0, damage: tuple[str, ...] = ("cut",), shared: bool = False) -> DataFrame:
     """(file, data) blobs of about 4 MB of gzip members from pages (page_id, url, html).
 
-    junk_every: before each page whose place in its blob is a multiple, the first
-    half of its member stands as well, as a broken write leaves it; the whole member
-    follows. Null columns are kept apart from empty ones.
+    junk_every: before each page whose place in its blob is a multiple, a broken
+    write of it stands as well, of the kinds of damage in turn; the whole member
+    follows. With shared, every other round of the kinds within a member (all but
+    cut and stream) leaves both in one member. Null columns are kept apart from
+    empty ones.
     """
     small_batches(pages.sparkSession)
 
@@ -285,9 +307,15 @@ def pages_to_warc(pages: DataFrame, junk_every: int = 0) -> DataFrame:
 
         for b in batches:
             for page_id, url, html in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                m = member(page_record(page_id, url, html))
+                raw = page_record(page_id, url, html)
+                m = member(raw)
                 if junk_every and done % junk_every == 0:
-                    parts.append(m[: len(m) // 2])
+                    turn, k = divmod(done // junk_every, len(damage))
+                    bad = _damaged(raw, damage[k])
+                    if shared and turn % 2 and damage[k] not in ("cut", "stream"):
+                        m = member(zlib.decompress(bad, 31) + raw)
+                    else:
+                        parts.append(bad)
                 first = page_id if first is None else first
                 parts.append(m)
                 done += 1
@@ -313,4 +341,13 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_from_warc(salvage_blobs(pages_to_warc(read(spark, sf_dir, "pages"), junk_every=16)))
 
 
+def op7_warc_salvage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record and every gap of such blobs, with all kinds of damage: places, reasons, and pages or quarantined bytes."""
+    found = salvage_blobs(pages_to_warc(read(spark, sf_dir, "pages"), junk_every=16, damage=DAMAGE, shared=True))
+    body = F.locate("\r\n\r\n", F.col("block").cast("string"))
+    html = F.when((F.col("kind") == "record") & F.col("fields")["X-No-Body"].isNull(), F.substring(F.col("block").cast("string"), body + 4, F.length("block")))
+    quarantined = F.when(F.col("kind") == "gap", F.col("block"))
+    return found.select("file", "kind", "start", "end", "inner_start", "inner_end", "reason", "page_id", "url", html.alias("html"), quarantined.alias("quarantined"))
+
+
 OP7_SQL = "select page_id, url, html from pages"

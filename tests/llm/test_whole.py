@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from loupe.llm import simhash, warc
+from loupe.llm import queries, simhash, warc
+from loupe.llm.common import read
 
 
 @pytest.mark.parametrize("longest", [simhash.LONGEST, 5])
@@ -60,3 +63,47 @@ def test_long_headers_are_read():
     raw = [warc.page_record(1, "http://a/" + "x" * (2 << 20), "one"), warc.page_record(2, "http://a/2", "two")]
     assert pages_of(b"".join(raw)) == pages_of(warc.member(raw[0]) + warc.member(raw[1])) == ["1", "2"]
     assert pages_of(raw[0][:1000] + b"\r\n" + raw[1]) == ["2"]
+
+
+def whole_records(raw: bytes) -> list[tuple[int, int]]:
+    """By brute force: the places of records whose length and digest are right, tried at every version line."""
+    out = []
+    for at in range(len(raw)):
+        m = re.match(rb"WARC/1\.0\r\n((?:[^\r\n]+: [^\r\n]*\r\n)*)WARC-Block-Digest: sha1:([0-9a-f]{40})\r\nContent-Length: (\d+)\r\n\r\n", raw[at:]) if raw[at : at + 8] == b"WARC/1.0" else None
+        if m and (not out or at >= out[-1][1]):
+            block = raw[at + m.end() : at + m.end() + int(m[3])]
+            if hashlib.sha1(block).hexdigest().encode() == m[2] and raw[at + m.end() + len(block) :][:4] == b"\r\n\r\n":
+                out.append((at, at + m.end() + len(block) + 4))
+    return out
+
+
+def gaps(whole: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    edges = [0, *[x for span in whole for x in span], size]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+
+
+def test_log_of_salvage_has_every_gap_and_page(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = read(spark, sf, "pages")
+    blobs = {r["file"]: bytes(r["data"]) for r in warc.pages_to_warc(pages, junk_every=16, damage=warc.DAMAGE, shared=True).collect()}
+    want = set()
+    for name, data in blobs.items():
+        members = []
+        for at in range(len(data)):
+            if data[at : at + 3] == b"\x1f\x8b\x08":
+                z = zlib.decompressobj(31)
+                try:
+                    raw = z.decompress(data[at:])
+                except zlib.error:
+                    continue
+                if z.eof and whole_records(raw):
+                    members.append((at, len(data) - len(z.unused_data)))
+                    want |= {(name, *members[-1], a, b, raw[a:b]) for a, b in gaps(whole_records(raw), len(raw))}
+        want |= {(name, a, b, None, None, data[a:b]) for a, b in gaps(members, len(data))}
+    rows = queries.QUERIES["op7_warc_salvage_log"](spark, sf).collect()
+    got = [(r["file"], r["start"], r["end"], r["inner_start"], r["inner_end"], bytes(r["quarantined"])) for r in rows if r["kind"] == "gap"]
+    assert len(got) == len(set(got)) and set(got) == want and any(g[3] is not None for g in got)
+    reasons = {r["reason"] for r in rows if r["kind"] == "gap"}
+    assert {"bad gzip member", "digest differs", "bad content length"} <= reasons
+    key = lambda rs: sorted(repr((r["page_id"], r["url"], r["html"])) for r in rs)
+    assert key(r for r in rows if r["kind"] == "record") == key(pages.collect())
