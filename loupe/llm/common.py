@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from loupe.session import ship
 
 ROWS_PER_BATCH = "2000"
+BATCH_BYTES = 16 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,19 +22,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """For operators with Python in them: the workers have this package, and Arrow batches of whole texts fit beside the JVM in an executor."""
+    """For operators with Python in them: the workers have this package, and Arrow batches of whole texts fit beside the JVM in an executor.
+
+    Batches end by bytes, also where rows are few and large; a number of rows or
+    bytes that the user has set lower stays.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    for key, most in ((_BATCH_ROWS, int(ROWS_PER_BATCH)), (_BATCH_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors reach; a temporary one only in local mode, where there is but one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="loupe-")
-        if not at.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

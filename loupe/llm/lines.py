@@ -4,13 +4,14 @@ The state of a LineIndex is three tables in the shared folder: where each line
 stands (occurrences), how many times and where first (refs), and one cuckoo
 filter a shard of refs, shards being ranges of the lines' hashes. A new batch
 asks the filters first, so that only lines that may be known are joined with the
-exact table; deleting documents lowers the counts, moves the first places on and
-takes lines that are left nowhere out of the filters.
+exact table, and the filters gain the others; deleting documents lowers the counts,
+moves the first places on and takes lines that are left nowhere out of the filters.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from loupe.llm import textvec as V
 from loupe.llm.common import materialize, read, small_batches, unused
 
 SLOTS = 4
+MOST_PARTS = 8
+NO_ID = (1 << 63) - 1
+_FILTER = "shard int, n long, filter binary"
 
 
 class Cuckoo:
@@ -53,7 +57,7 @@ class Cuckoo:
         return ((self.slots[one] == fp[:, None]) | (self.slots[two] == fp[:, None])).any(1)
 
     def insert(self, keys: np.ndarray) -> None:
-        """Keys that are not in it yet. A full table raises OverflowError and is then no longer valid: build a larger one."""
+        """A fingerprint for each key, also for one that is in it. A full table raises OverflowError and is then no longer valid: build a larger one."""
         fp, one, two = self._places(keys)
         rng = np.random.default_rng(len(keys))
         at = one
@@ -81,13 +85,20 @@ class Cuckoo:
         raise OverflowError("cuckoo filter is full")
 
     def delete(self, keys: np.ndarray) -> None:
-        """Keys that are in it."""
-        for f, a, b in zip(*self._places(keys), strict=True):
-            for at in (a, b):
-                hit = np.flatnonzero(self.slots[at] == f)
-                if len(hit):
-                    self.slots[at, hit[0]] = 0
-                    break
+        """Keys that are in it; each takes one fingerprint out, so that a key that stands twice loses one."""
+        fp, one, two = self._places(keys)
+        flat = self.slots.reshape(-1)
+        while len(fp):
+            a = self.slots[one] == fp[:, None]
+            b = self.slots[two] == fp[:, None]
+            first = a.any(1)
+            slot = np.where(first, one, two) * SLOTS + np.where(first[:, None], a, b).argmax(1)
+            there = np.flatnonzero(first | b.any(1))
+            _, once = np.unique(slot[there], return_index=True)  # one key a slot in a turn
+            done = there[once]
+            flat[slot[done]] = 0
+            left = np.setdiff1d(there, done, assume_unique=True)
+            fp, one, two = fp[left], one[left], two[left]
 
     @classmethod
     def build(cls, keys: np.ndarray) -> Cuckoo:
@@ -103,7 +114,7 @@ class Cuckoo:
 
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
     """A document's place in the order, nulls last, and a hash of its text, to tell rows of one doc_id apart."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -122,7 +133,7 @@ def _shard(n: int) -> Column:
 
 
 def _build_filter(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [key[0]], "n": [len(pdf)], "filter": [Cuckoo.build(np.unique(pdf["h1"].to_numpy())).dump()]})
+    return pd.DataFrame({"shard": [key[0]], "n": [len(pdf)], "filter": [Cuckoo.build(pdf["h1"].to_numpy()).dump()]})
 
 
 def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -130,42 +141,82 @@ def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h1": left["h1"], "h2": left["h2"], "maybe": maybe})
 
 
+def _put_in(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter with more lines; null if they don't fit, so that it must be built anew."""
+    n = len(left) + (int(right["n"].iloc[0]) if len(right) else 0)
+    try:
+        if len(right):
+            c = Cuckoo.load(right["filter"].iloc[0])
+            if n > c.slots.size * 0.9:
+                raise OverflowError
+            c.insert(left["h1"].to_numpy())
+        else:
+            c = Cuckoo.build(left["h1"].to_numpy())
+        blob = c.dump()
+    except OverflowError:
+        blob = None
+    return pd.DataFrame({"shard": [left["shard"].iloc[0]], "n": [n], "filter": [blob]})
+
+
 def _take_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(right):
         return pd.DataFrame({"shard": [], "n": [], "filter": []})
     c = Cuckoo.load(right["filter"].iloc[0])
-    c.delete(np.unique(left["h1"].to_numpy()))
+    c.delete(left["h1"].to_numpy())
     return pd.DataFrame({"shard": right["shard"], "n": right["n"] - len(left), "filter": [c.dump()]})
 
 
 @dataclass
 class LineIndex:
+    """An immutable state: insert and delete give the next one.
+
+    refs are kept as parts, one of each insert, which are added up when they are
+    read: an insert writes its own lines and the filters of the shards that gain
+    some, and nothing else. With more than MOST_PARTS parts they are written as one.
+    A delete writes occ and refs anew. A shard whose filter is full, or all if
+    shards have grown to four times lines_per_shard, is built anew from refs.
+    """
+
     occ: DataFrame | None = None
-    refs: DataFrame | None = None
+    parts: tuple[DataFrame, ...] = ()
     filters: DataFrame | None = None
     shards: int = 1
 
     lines_per_shard = 200_000
 
+    @property
+    def refs(self) -> DataFrame:
+        """(h1, h2, refs, first) of every line."""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        return reduce(DataFrame.unionByName, self.parts).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("first").alias("first"))
+
     def probe(self, keys: DataFrame) -> DataFrame:
         """(h1, h2, maybe) for keys (h1, h2): false only for lines that the index doesn't hold."""
         k = keys.select("h1", "h2", _shard(self.shards).alias("shard"))
         return k.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, "h1 long, h2 long, maybe boolean")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with docs as well. Documents that were there already must not be given again."""
+        """The index with docs as well; ValueError if it holds a document of one of their ids already. Rows without a doc_id can't be told apart, are always taken, and can't be deleted."""
         small_batches(docs.sparkSession)
         new = materialize(occurrences(docs), "occ")
-        fresh = _refs(new)
-        if self.refs is None:
-            refs = materialize(fresh, "refs")
-            return LineIndex(new, refs, *self._filters(refs))
-        fresh = materialize(fresh, "batch")
-        maybe = self.probe(fresh).where("maybe").select("h1", "h2")
-        known = self.refs.join(maybe, ["h1", "h2"], "left_semi")
-        changed = known.unionByName(fresh).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("first").alias("first"))
-        refs = materialize(self.refs.join(maybe, ["h1", "h2"], "left_anti").unionByName(changed), "refs")
-        return LineIndex(self.occ.unionByName(new), refs, *self._filters(refs))
+        if self.occ is not None and not new.where(F.col("did") != NO_ID).select("did").distinct().join(self.occ.select("did"), "did", "left_semi").isEmpty():
+            raise ValueError("documents that are in the index are to be deleted before they are inserted again")
+        fresh = materialize(_refs(new), "refs")
+        if self.occ is None:
+            return LineIndex(new, (fresh,), *self._filters(fresh))
+        asked = materialize(self.probe(fresh), "probe")
+        maybe = asked.where("maybe").select("h1", "h2")
+        known = reduce(DataFrame.unionByName, [p.select("h1", "h2") for p in self.parts]).join(maybe, ["h1", "h2"], "left_semi").distinct()
+        more = asked.where("not maybe").select("h1", "h2").unionByName(maybe.join(known, ["h1", "h2"], "left_anti"))
+        parts = (*self.parts, fresh)
+        state = LineIndex(self.occ.unionByName(new), parts, self.filters, self.shards)
+        if len(parts) > MOST_PARTS:
+            state.parts = (materialize(state.refs, "refs"),)
+        state.filters = state._grown(more.select("h1", _shard(self.shards).alias("shard")))
+        if not state.filters.where(F.col("n") > 4 * self.lines_per_shard).isEmpty():
+            state.filters, state.shards = state._filters(state.refs)
+        return state
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index as if the documents of doc_ids (doc_id) had never been inserted; unknown ones change nothing."""
@@ -175,14 +226,26 @@ class LineIndex:
         left = materialize(_refs(occ.join(touched, ["h1", "h2"], "left_semi")), "left")
         refs = materialize(self.refs.join(touched, ["h1", "h2"], "left_anti").unionByName(left), "refs")
         lost = touched.join(left, ["h1", "h2"], "left_anti").withColumn("shard", _shard(self.shards))
-        out = lost.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_take_out, "shard int, n long, filter binary")
-        filters = materialize(self.filters.join(lost.select("shard").distinct(), "shard", "left_anti").unionByName(out), "filters")
-        return LineIndex(occ, refs, filters, self.shards)
+        hit = lost.select("shard").distinct()
+        out = lost.groupBy("shard").cogroup(self.filters.join(hit, "shard", "left_semi").groupBy("shard")).applyInPandas(_take_out, _FILTER)
+        filters = materialize(self.filters.join(hit, "shard", "left_anti").unionByName(out), "filters")
+        return LineIndex(occ, (refs,), filters, self.shards)
+
+    def _grown(self, more: DataFrame) -> DataFrame:
+        """The filters with more lines (h1, shard)."""
+        more = materialize(more, "more")
+        hit = more.select("shard").distinct()
+        out = more.groupBy("shard").cogroup(self.filters.join(hit, "shard", "left_semi").groupBy("shard")).applyInPandas(_put_in, _FILTER)
+        filters = materialize(self.filters.join(hit, "shard", "left_anti").unionByName(out), "filters")
+        full = filters.where("filter is null").select("shard")
+        if full.isEmpty():
+            return filters
+        anew = self.refs.select("h1", _shard(self.shards).alias("shard")).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build_filter, _FILTER)
+        return materialize(filters.where("filter is not null").unionByName(anew), "filters")
 
     def _filters(self, refs: DataFrame) -> tuple[DataFrame, int]:
         n = max(1, -(-refs.count() // self.lines_per_shard))
-        f = refs.select("h1", _shard(n).alias("shard")).groupBy("shard").applyInPandas(_build_filter, "shard int, n long, filter binary")
-        return materialize(f, "filters"), n
+        return materialize(refs.select("h1", _shard(n).alias("shard")).groupBy("shard").applyInPandas(_build_filter, _FILTER), "filters"), n
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs, all of them in the index, without the lines that stand earlier in the index, and with n_lines and n_dropped.
@@ -208,15 +271,24 @@ class LineIndex:
         )
 
 
+def _second() -> Column:
+    """A quarter of the ids, by hash; rows without one are not in it."""
+    return F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+
+
 def dedup_lines(docs: DataFrame) -> tuple[DataFrame, LineIndex]:
-    """All of docs through a new index: (docs without repeated lines and with n_lines and n_dropped, the index). See LineIndex.clean."""
-    index = LineIndex().insert(docs)
+    """All of docs through a new index in two batches: (docs without repeated lines and with n_lines and n_dropped, the index). See LineIndex.clean. An empty table gives an empty one."""
+    second = _second()
+    index = LineIndex().insert(docs.where(~second)).insert(docs.where(second))
     return index.clean(docs), index
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that stand earlier in the corpus."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+    """Every document without the lines that stand earlier in the corpus; a quarter of the documents is deleted from the index and inserted again before."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    _, index = dedup_lines(docs)
+    again = docs.where(_second())
+    return index.delete(again.select("doc_id")).insert(again).clean(docs)
 
 
 OP3_SQL = r"""

@@ -15,6 +15,7 @@ results don't depend on partitions, batches or order.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,15 +23,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from loupe.llm import textvec as V
 from loupe.llm.common import read, small_batches, unused
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("LOUPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")  # a file that every executor has
 _SPACE, _NEWLINE = 0x20, 0x0A
 BATCH_BYTES = 3 << 19
+DECODE_IDS = 1 << 20
 
 
 def _slot2(h: np.ndarray) -> np.ndarray:
@@ -408,8 +413,11 @@ def decode_ids(p: Pieces, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray,
     return raw[keep], ends - dropped[ends]
 
 
-def _encode_batches(path: str, k: int, seed: int, keep: int):  # noqa: ANN202
-    fields = [pa.field("sample", pa.int32()), pa.field("ids", pa.list_(pa.int32())), pa.field("log_prob", pa.float64()), pa.field("perturbed", pa.float64()), pa.field("log_inclusion", pa.float64()), pa.field("round_trip", pa.bool_())]
+_OUT = [("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_())]
+
+
+def _encode_batches(path: str, k: int, seed: int, keep: int, names: list[str]):  # noqa: ANN202
+    """names: of the output columns after the keep ones that are carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
@@ -429,7 +437,7 @@ def _encode_batches(path: str, k: int, seed: int, keep: int):  # noqa: ANN202
                 cols = [b.column(i).take(take) for i in range(keep)]
                 cols += [pa.array([i + 1 for d in got for i in range(len(d))], pa.int32()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 cols += [pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)] + [pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:keep], *[f.name for f in fields]])
+                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:keep], *names])
                 row += n
 
     return run
@@ -440,28 +448,41 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL, seed: int = 0, carry
 
     k distinct segmentations, or all where a text has fewer; their ids may agree
     only if pieces do. The row key is doc_id, or a hash of the text without one,
-    so that repeated rows get the same. A null or empty text has the one piece of
+    so that repeated rows get the same. A carried column with the name of an output stays, and
+    the output gets underscores. A null or empty text has the one piece of
     the space that is put first. Of docs only the columns in carry go on; each row
     is worked on by itself, over its whole text. An empty table gives none.
     """
     small_batches(docs.sparkSession)
-    key, text = "key", "text"
-    rows = docs.select(*[F.col(c) for c in carry], F.col("text").alias(text + "_"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias(key + "_"))
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    out = "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
-    return rows.mapInArrow(_encode_batches(model, k, seed, len(carry)), f"{types}, {out}")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry])
+    names = [unused(rows, n) for n, _ in _OUT]
+    text, key = unused(rows, "text_"), unused(rows, "key_")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(text), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias(key))
+    schema = StructType([*[StructField(c, docs.schema[c].dataType) for c in carry], *[StructField(n, from_arrow_type(t)) for n, (_, t) in zip(names, _OUT, strict=True)]])
+    return rows.mapInArrow(_encode_batches(model, k, seed, len(carry), names), schema)
+
+
+def _runs(length: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most so many in all, or of one row."""
+    end, a = np.cumsum(length), 0
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def decode(rows: DataFrame, model: str = MODEL, column: str = "decoded") -> DataFrame:
-    """rows with the text of their ids; null ids give null, none give an empty text."""
+    """rows with the text of their ids; null ids give null, none give an empty text; worked on in runs of DECODE_IDS ids, so that no batch is too large. A column of that name stays and the new one gets underscores."""
 
     def run(ids: pa.Array) -> pa.Array:
-        lists = ids.fill_null([]) if ids.null_count else ids
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-        raw, off = decode_ids(load(model), flat, cut)
-        got = pa.StringArray.from_buffers(len(ids), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes()))
-        return pa.compute.if_else(ids.is_null(), None, got) if ids.null_count else got
+        p, parts = load(model), []
+        length = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _runs(length, DECODE_IDS):
+            part = ids.slice(a, b - a)
+            raw, off = decode_ids(p, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(length[a:b])])
+            parts.append(pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())).cast(pa.string()))
+        got = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        return pc.if_else(ids.is_null(), None, got) if ids.null_count else got
 
     small_batches(rows.sparkSession)
     return rows.withColumn(unused(rows, column), F.arrow_udf(run, "string")("ids"))

@@ -254,9 +254,8 @@ def _salvage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def salvage_blobs(blobs: DataFrame) -> DataFrame:
-    """Records and gaps of blobs (file, data). kind is record or gap; a record has a reason only if it is whole by its digest in a member that is corrupt, so that its header may be wrong; block is the record's block or the quarantined bytes; start and end are byte offsets in the (compressed) file, inner_start and inner_end in the inflated bytes of a member with records. Null and empty data give no rows."""
+    """Records and gaps of blobs (file, data). kind is record or gap; a record has a reason only if it is whole by its digest in a member that is corrupt, so that its header may be wrong; block is the record's block or the quarantined bytes; start and end are byte offsets in the (compressed) file, inner_start and inner_end in the inflated bytes of a member with records. Null and empty data give no rows. Batches end by bytes; a file is in memory whole, at most 2 GB."""
     small_batches(blobs.sparkSession)
-    blobs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return blobs.select(F.col("file").cast("string"), F.col("data").cast("binary")).mapInArrow(_salvage_batches, _SCHEMA)
 
 

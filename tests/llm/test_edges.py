@@ -85,6 +85,9 @@ def test_sentencepiece(docs, empty):
     one = [r for r in rows if r["doc_id"] == 1]
     assert len(one) == 6 and len({tuple(r["ids"]) for r in one}) == 3  # repeated rows draw the same
     assert [r["sample"] for r in rows if r["doc_id"] == 2] == [1]
+    clash = docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("sample", "ids", "LOG_PROB", "perturbed", "log_inclusion", "round_trip", "text_", "key_")])
+    named = sentencepiece.encode(clash, carry=tuple(clash.columns))
+    assert {"sample_", "ids_", "log_prob_", "round_trip_"} <= set(named.columns) and named.where("sample <> 'x' or not round_trip_").count() == 0
     assert sentencepiece.encode(empty).count() == 0
     spark = docs.sparkSession
     assert [r["decoded"] for r in sentencepiece.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).collect()] == [None, ""]

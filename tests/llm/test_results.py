@@ -165,6 +165,23 @@ def test_deleting_documents_undoes_their_insertion(docs):
     assert clean == {r["doc_id"]: r["text"] for r in alone.clean(a).collect()}
 
 
+def test_an_index_of_many_shards_through_several_changes(spark, docs, monkeypatch):
+    monkeypatch.setattr(lines.LineIndex, "lines_per_shard", 60)
+    part = lambda i: docs.where(f"doc_id % 4 = {i}")
+    key = lambda i: sorted((r["h1"], r["h2"], r["refs"], tuple(r["first"])) for r in i.refs.collect())
+    index = lines.LineIndex().insert(part(0)).insert(part(1)).insert(part(2))
+    assert index.shards > 2 and index.filters.count() == index.filters.select("shard").distinct().count() == index.shards
+    with pytest.raises(ValueError):
+        index.insert(part(2))
+    index = index.delete(part(1).select("doc_id")).delete(part(2).select("doc_id")).insert(part(3)).delete(part(0).select("doc_id")).insert(part(2))
+    want = lines.LineIndex().insert(docs.where("doc_id % 4 in (2, 3)"))
+    assert key(index) == key(want)
+    assert index.filters.count() == index.shards and index.filters.agg({"n": "sum"}).first()[0] == want.refs.count()
+    assert index.probe(want.refs).where("not maybe").count() == 0
+    unknown = lines.LineIndex().insert(part(0)).refs.join(want.refs, ["h1", "h2"], "left_anti")
+    assert index.probe(unknown).where("maybe").count() <= 0.01 * unknown.count() + 1
+
+
 def test_mixture_keeps_to_its_budget(docs):
     plan = mixing.mix_sources(docs, targets={r["source"] or "": 1.0 for r in docs.select("source").distinct().collect()}, plan=True).toPandas()
     total = mixing.mix_sources(docs, plan=True, alpha=1.0)["n_tokens"]
