@@ -1,25 +1,33 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-Counting and scoring are two joins on n-gram hashes. N-grams are exploded chunk
-by chunk of documents, and what goes through the shuffle is, for each chunk,
-order and partition of the hash space, one packed list of distinct n-grams with
-their counts. A count-table partition sums its lists and answers each with the
-corpus counts in the same order; the answers meet their chunk again, where they
-are looked up for every token and summed per document. So each n-gram crosses the
-network once a chunk, in five to six bytes instead of a row.
+The texts are exploded into n-grams chunk by chunk. A chunk gives, for each order
+and partition of the hash space, a packed list of its distinct n-grams with their
+counts. The lists of a partition add up to its part of the count table, which holds
+what stands more than once; the lists are joined with that table by partition, and
+the corpus counts go back to their chunk, where each token looks its own up and the
+scores are summed by document. A list is a run of rows in five to six bytes an
+n-gram; there are never more lists than distinct n-grams of chunks, so what is
+shuffled grows in proportion to the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm import textvec as V
-from loupe.llm.common import materialize, read, small_batches, unused
+from loupe.llm.common import materialize, read, small_batches
 
 CHUNK_BYTES = 16 << 20
+PART_BYTES = 32 << 20  # of text, a partition of the count table
+_LISTS = "n int, part int, chunk long, grams binary, counts binary"
 _MUL = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -69,55 +77,116 @@ def _chunk_grams(text: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[np
     return cat(counts, np.int64), [cat(x, np.uint64) for x in h], [cat(x, bool) for x in has]
 
 
-def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _packed_texts(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def gram_lists(docs: DataFrame, parts: int, order: int = 3, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(n, part, chunk, grams, counts): for each chunk of docs (doc_id, text), its distinct n-grams by order (from 0) and partition; and with n = -1 the chunk itself, packed in grams."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["n", "part", "chunk", "grams", "counts"]
+
+    def explode(held: list[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        blob = _packed_texts(held)
+        # by its place and what it holds: should a task that runs again read its rows in another order, chunks don't mix
+        place = f"{TaskContext.get().partitionId()}-{turn}-".encode()
+        chunk = int.from_bytes(hashlib.blake2b(place + blob, digest_size=8).digest(), "little", signed=True)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((-1, chunk % parts, chunk, blob, None), types, strict=True)], names)
+        _, h, has = _chunk_grams(pa.chunked_array([b.column(1) for b in held]), order)
+        for n in range(order):
+            u, c = np.unique(h[n][has[n]], return_counts=True)
+            cut = np.r_[0, np.searchsorted(u, bounds), len(u)]
+            full = [p for p in range(parts) if cut[p + 1] > cut[p]]
+            at = [(int(cut[p]), int(cut[p + 1])) for p in full]
+            cols = [[n] * len(full), full, [chunk] * len(full), [pack_sorted(u[a:b]) for a, b in at], [pack(c[a:b], 4) for a, b in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = turn = 0
+        for b in batches:
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= chunk_bytes:
+                yield from explode(held, turn)
+                held, size, turn = [], 0, turn + 1
+        if any(b.num_rows for b in held):
+            yield from explode(held, turn)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _LISTS)
+
+
+def count_table(lists: DataFrame, least: int = 2) -> DataFrame:
+    """(n, part, grams, counts): of all chunks together, the n-grams that stand at least so many times, sorted by hash."""
+
+    def count(t: pa.Table) -> pa.Table:
+        n, part = t["n"][0].as_py(), t["part"][0].as_py()
+        out = pa.table({"n": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32()), "grams": pa.array([b""], pa.binary()), "counts": pa.array([b""], pa.binary())})
+        if n < 0:
+            return out.slice(0, 0)
+        grams = np.concatenate([unpack_sorted(x.as_py()) for x in t["grams"]])
+        c = np.concatenate([unpack(x.as_py(), 4) for x in t["counts"]]).astype(np.uint64)
+        order = np.argsort(grams)
+        grams, c = grams[order], c[order]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        total, grams = np.add.reduceat(c, first), grams[first]
+        keep = total >= least
+        return out.set_column(2, "grams", pa.array([pack_sorted(grams[keep])], pa.binary())).set_column(3, "counts", pa.array([pack(total[keep], 8)], pa.binary()))
+
+    return lists.groupBy("n", "part").applyInArrow(count, "n int, part int, grams binary, counts binary")
+
+
+def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The corpus counts of each list's n-grams, in its order; 1 for what the table lacks. Chunks go through."""
+    if not len(left) or left["n"][0].as_py() < 0:
+        return left
+    grams, total = unpack_sorted(right["grams"][0].as_py()), unpack(right["counts"][0].as_py(), 8)
+    said = []
+    for x in left["grams"]:
+        u = unpack_sorted(x.as_py())
+        c = np.ones(len(u), np.uint64)
+        if len(grams):
+            at = np.minimum(np.searchsorted(grams, u), len(grams) - 1)
+            hit = grams[at] == u
+            c[hit] = total[at[hit]]
+        said.append(pack(c, 8))
+    return left.drop_columns(["grams", "counts"]).append_column("grams", pa.nulls(len(left), pa.binary())).append_column("counts", pa.array(said, pa.binary()))
+
+
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score), a row for each row of docs.
 
     Counts are taken over all of docs. A token's score is count(n-gram) over
     count(its context) for the longest n-gram that ends at it, starts in its text
-    and stands min_count times in the corpus; alpha for every order that was passed
+    and stands min_count times (2 or more) in the corpus; alpha for every order that was passed
     by; a word's share of all tokens at the end. log_score sums natural logarithms.
     Tokens are what white space separates. Null and empty texts have 0 tokens, score
     0 and no mean; repeated rows and null ids are scored like others; an empty table
-    gives none.
+    gives none. Further columns don't matter.
     """
+    if min_count < 2:
+        raise ValueError("the count table has no n-grams that stand once")
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    key = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")
-    rows = docs.select("doc_id", "text", key.alias("chunk"))
-    edges = [(i << 64) // chunks for i in range(chunks + 1)]
-    bounds = np.array(edges[1:-1], np.uint64)
-
-    def explode(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        _, h, has = _chunk_grams(t["text"], order)
-        out: list[tuple] = []
-        for n in range(order):
-            u, c = np.unique(h[n][has[n]], return_counts=True)
-            cut = np.r_[0, np.searchsorted(u, bounds), len(u)]
-            out.extend((n, p, chunk, pack_sorted(u[a:b]), pack(c[a:b], 4)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a)
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table({"n": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "chunk": pa.array(cols[2], pa.int32()), "grams": pa.array(cols[3], pa.binary()), "counts": pa.array(cols[4], pa.binary())})
+    parts = max(1, -(-size // part_bytes))
 
-    def count(t: pa.Table) -> pa.Table:
-        lists = [unpack_sorted(x.as_py()) for x in t["grams"]]
-        own = [unpack(x.as_py(), 4) for x in t["counts"]]
-        u, inv = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.zeros(len(u), np.uint64)
-        np.add.at(total, inv, np.concatenate(own).astype(np.uint64))
-        at = np.cumsum([0, *map(len, lists)])
-        said = [pack(total[inv[a:b]], 8) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return t.select(["n", "part", "chunk"]).append_column("counts", pa.array(said, pa.binary()))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(t: pa.Table) -> pa.Table:
+        own = t.filter(pc.less(t["n"], 0))
+        if len(own) != 1:
+            raise RuntimeError("a chunk was made twice in different ways; write docs to a table first")
+        left = pa.ipc.open_stream(own["grams"][0].as_py()).read_all()
         counts, h, has = _chunk_grams(left["text"], order)
-        found = {}
-        for n, part, blob in zip(right["n"].to_pylist(), right["part"].to_pylist(), right["counts"], strict=True):
-            found[n, part] = unpack(blob.as_py(), 8)
+        rest = t.filter(pc.greater_equal(t["n"], 0))
+        found = {(n, part): blob for n, part, blob in zip(rest["n"].to_pylist(), rest["part"].to_pylist(), rest["counts"], strict=True)}
         c = []
         for n in range(order):
             _, inv = np.unique(h[n][has[n]], return_inverse=True)
-            got = [found[n, p] for p in range(chunks) if (n, p) in found]
+            got = [unpack(found[n, p].as_py(), 8) for p in range(parts) if (n, p) in found]
             x = np.zeros(len(h[n]))
             x[has[n]] = (np.concatenate(got) if got else np.zeros(0))[inv]
             c.append(x)
@@ -132,14 +201,15 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
         owner = np.repeat(np.arange(len(counts)), counts)
         return pa.table({"doc_id": left["doc_id"], "n_tokens": pa.array(counts, pa.int64()), "by_word": pa.array(np.bincount(owner, open_, len(counts)).astype(np.int64)), "log_score": pa.array(np.bincount(owner, out, len(counts)), pa.float64())})
 
-    lists = rows.groupBy("chunk").applyInArrow(explode, "n int, part int, chunk int, grams binary, counts binary")
-    said = lists.groupBy("n", "part").applyInArrow(count, "n int, part int, chunk int, counts binary")
+    lists = gram_lists(docs, parts, order, chunk_bytes)
+    table = count_table(lists)
+    said = lists.groupBy("n", "part").cogroup(table.groupBy("n", "part")).applyInArrow(_look_up, "n int, part int, chunk long, grams binary, counts binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, by_word long, log_score double")
+    out = said.groupBy("chunk").applyInArrow(score, f"doc_id {kind}, n_tokens long, by_word long, log_score double")
     out = materialize(out, "scores")
     total = max(1, out.agg(F.sum("n_tokens")).first()[0] or 0)
     s = F.col("log_score") - F.col("by_word") * F.log(F.lit(float(total)))
-    return out.select("doc_id", "n_tokens", s.alias("log_score"), F.when(F.col("n_tokens") > 0, s / F.col("n_tokens")).alias(unused(out.select("doc_id"), "mean_log_score")))
+    return out.select("doc_id", "n_tokens", s.alias("log_score"), F.when(F.col("n_tokens") > 0, s / F.col("n_tokens")).alias("mean_log_score"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,11 @@ def test_lm(docs, empty):
     assert got[2]["n_tokens"] == got[3]["n_tokens"] == got[4]["n_tokens"] == 0 and got[2]["mean_log_score"] is None and got[2]["log_score"] == 0
     assert got[5]["log_score"] == got[6]["log_score"]
     assert ngrams.lm_scores(empty).count() == 0
-    assert ngrams.lm_scores(docs, chunk_bytes=50_000).exceptAll(out).where("n_tokens < 100").count() == 0
+    small = ngrams.lm_scores(docs.repartition(3), chunk_bytes=50_000, part_bytes=20_000)
+    assert small.count() == len(DOCS)
+    same = docs.where("doc_id = 7").unionByName(docs.where("doc_id = 7"))
+    assert ngrams.lm_scores(same).count() == 2  # two partitions of the same rows
+    assert small.exceptAll(out).where("n_tokens < 100").count() == 0
 
 
 def test_toxicity(docs, empty, labels):
