@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_salvage": warc.op7_warc_salvage,
     "op7_warc_salvage_log": warc.op7_warc_salvage_log,
     "op8_learned_partitions_ann": vectors.op8_learned_partitions_ann,
+    "op8_recall_of_partitions": vectors.op8_recall_of_partitions,
     "op9_quality_gam": quality.op9_quality_gam,
     "op10_toxic_spans": toxicity.op10_toxic_spans,
 }
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op4_lm_scores": ngrams.OP4_SQL,
     "op7_warc_salvage": warc.OP7_SQL,
     "op8_learned_partitions_ann": vectors.OP8_SQL,
+    "op8_recall_of_partitions": vectors.OP8_RECALL_SQL,
 }

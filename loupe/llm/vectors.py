@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loupe.llm.common import components, materialize, read, small_batches, unused
@@ -284,17 +285,30 @@ class PartitionIndex:
     router: Router
     parts: int
     probes: int
-    recall: float
+    recall: float  # as measured on test_rows rows that the router was not trained on
     base: DataFrame  # part, id, v
 
 
-def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 1024, target: float = 0.96, test_rows: int = 256) -> PartitionIndex:
-    """An index over all of vecs. Graph and router are learned from at most sample_rows rows, chosen by hash; the number of probes is the least with which the neighbours of test_rows rows, by brute force over all, reach the target recall."""
-    m = max(1, min(most_parts, -(-n // part_rows)))
-    _, x = _first_by_hash(vecs, sample_rows)
-    graph = neighbour_graph(x, 10) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
-    label = partition_graph(x, graph, m) if m > 1 else np.zeros(len(x), np.int64)
-    router = train_router(x, graph, label, m) if m > 1 else Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32))
+def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 1024, target: float = 0.95, test_rows: int = 512) -> PartitionIndex:
+    """An index over all of vecs, of about part_rows rows a partition.
+
+    Graph and router are learned from a sample of sample_rows rows, chosen by hash,
+    which the driver holds. So there are at most most_parts partitions (eight rows of
+    the sample each); beyond that they grow with the table, and are searched in blocks.
+    The number of probes is the least with which the neighbours of test_rows further
+    rows, by brute force over all, reach the target recall. A table of at most
+    part_rows rows has one partition and is exact.
+    """
+    m = max(1, min(-(-n // part_rows), most_parts))
+    sample_rows = min(sample_rows, n)
+    ids, x = _first_by_hash(vecs, sample_rows + test_rows)
+    qid, q, x = ids[sample_rows:], x[sample_rows:], x[:sample_rows]
+    if not len(q):  # all rows are in the sample
+        qid, q = ids[:test_rows], x[:test_rows]
+    router = _one_partition(x.shape[1])
+    if m > 1:
+        graph = neighbour_graph(x, 10)
+        router = train_router(x, graph, partition_graph(x, graph, m), m)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,17 +318,8 @@ def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_r
     base = materialize(vecs.mapInArrow(assign, f"part int, {_VEC}"), "base")
     if m == 1:
         return PartitionIndex(router, 1, 1, 1.0, base)
-    qid, q = _first_by_hash(vecs, test_rows)
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in np.unique(b.column(0).to_numpy()):
-                t = pa.Table.from_batches([b.filter(pa.compute.equal(b.column(0), int(p)))])
-                yield from _best(t, q, qid, k, int(p)).combine_chunks().to_batches()
-
-    found = base.mapInArrow(brute, "q long, id long, cosine double, part int")
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-    true = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "part").collect()
+    true = brute_force(base, qid, q, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "part").collect()
     turn = np.argsort(np.argsort(-(router.logits(q) + router.offset), axis=1, kind="stable"), axis=1, kind="stable")
     at = {int(x): i for i, x in enumerate(qid)}
     ranks = np.array([turn[at[r["q"]], r["part"]] for r in true])
@@ -323,6 +328,23 @@ def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_r
     return PartitionIndex(router, m, probes, float(got[probes - 1]), base)
 
 
+def _one_partition(d: int) -> Router:
+    z = np.zeros(1, np.float32)
+    return Router(np.zeros((d, 1), np.float32), z, np.zeros((1, 1), np.float32), z, z)
+
+
+def brute_force(base: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(q, id, cosine, part): of each task's rows of base (part, id, v) the k best of each query. The queries go to all tasks; they are as many as build_index asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in np.unique(b.column(0).to_numpy()):
+                t = pa.Table.from_batches([b.filter(pc.equal(b.column(0), int(p)))])
+                yield from _best(t, q, qid, k, int(p)).combine_chunks().to_batches()
+
+    return base.mapInArrow(run, "q long, id long, cosine double, part int")
+
+
 def search(index: PartitionIndex, queries: DataFrame, n_queries: int, n_base: int, k: int) -> DataFrame:
     """(q, rank, id, cosine): for every row of queries (id, v) its k best of the index, reranked by their cosine, without itself."""
     router, probes = index.router, index.probes
@@ -354,29 +376,49 @@ def search(index: PartitionIndex, queries: DataFrame, n_queries: int, n_base: in
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "rank", "id", "cosine")
 
 
-def nearest_neighbours(rows: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id_column, rank, neighbour_id, cosine): the k nearest others of every vector of rows, by cosine, then the lesser id.
+def nearest_neighbours(rows: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", queries: Column | str = "true", part_rows: int = 2048) -> DataFrame:
+    """(id_column, rank, neighbour_id, cosine): the k nearest others, among all of rows, of every vector of rows for which queries is true; by cosine, then the lesser id.
 
-    Vectors that unit_vectors leaves out neither ask nor are found; repeated ids
-    count once; fewer than k others give fewer rows; an empty table gives none.
+    queries is a condition on the column id. Vectors that unit_vectors leaves out
+    neither ask nor are found; repeated ids count once; fewer than k others give fewer
+    rows; no queries and an empty table give none; further columns don't matter.
     """
     vecs = materialize(unit_vectors(rows, id_column, column), "vecs")
     n = vecs.count()
     if not n:
         return vecs.select(F.col("id").alias(id_column), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("cosine"))
-    found = search(build_index(vecs, n, k), vecs, n, n, k)
+    asked = vecs.where(queries)
+    found = search(build_index(vecs, n, k, part_rows=part_rows), asked, asked.count(), n, k)
     return found.select(F.col("q").alias(id_column), "rank", F.col("id").alias(unused(rows.select(id_column), "neighbour_id")), "cosine")
 
 
+ASKED = "id % 50 = 0"
+
+
 def op8_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest others of every vector."""
-    return nearest_neighbours(read(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 3))
+    """The ten nearest others, among all vectors, of every vector whose id is divisible by 50."""
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), queries=ASKED).withColumn("cosine", F.round("cosine", 3))
+
+
+def op8_recall_of_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_queries, n_true, reached): how many neighbours the same queries have by brute force, and whether an index of small partitions finds nine tenths of them."""
+    rows = read(spark, sf_dir, "embeddings")
+    found = nearest_neighbours(rows, queries=ASKED, part_rows=64).select("vec_id", "neighbour_id", F.lit(1).alias("hit"))
+    vecs = materialize(unit_vectors(rows), "vecs")
+    n = vecs.count()
+    true = search(build_index(vecs, n, 10, part_rows=max(1, n)), vecs.where(ASKED), vecs.where(ASKED).count(), n, 10)
+    j = true.select(F.col("q").alias("vec_id"), F.col("id").alias("neighbour_id")).join(found, ["vec_id", "neighbour_id"], "left")
+    return j.agg(F.countDistinct("vec_id").alias("n_queries"), F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 OP8_SQL = """
 with p as (
   select a.vec_id, b.vec_id neighbour_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c
-  from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by vec_id order by c desc, neighbour_id) rank from p)
 select vec_id, rank::int rank, neighbour_id, round(c, 3) cosine from r where rank <= 10
 """
+OP8_RECALL_SQL = """
+select count(*) n_queries, sum(least(10, (select count(*) from embeddings) - 1))::bigint n_true, true reached
+from embeddings where vec_id % 50 = 0
+"""
