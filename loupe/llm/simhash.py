@@ -130,7 +130,7 @@ def _groups(sig: np.ndarray, max_bits: int, second: np.ndarray | None = None) ->
 
 
 def near_edges(sigs: DataFrame, max_bits: int = MAX_BITS, longest: int = LONGEST) -> DataFrame:
-    """(a, b) edges that connect the near-duplicate signatures of sigs (id, sig), ids and signatures distinct.
+    """(a, b) edges that connect the near-duplicate signatures of sigs (id, sig), signatures distinct; an id may have several.
 
     A list of more than longest is cut into blocks, and each pair of blocks is a list of its own.
     """
@@ -176,28 +176,39 @@ def near_edges(sigs: DataFrame, max_bits: int = MAX_BITS, longest: int = LONGEST
     return posted.groupBy("key").applyInArrow(lists, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def doc_signatures(docs: DataFrame) -> DataFrame:
+    """(id, sig) of the documents of docs (doc_id, text) that have an id and a word."""
+    small_batches(docs.sparkSession)
+    sig = F.arrow_udf(_signature_udf, "binary")
+    sigs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), sig("text").alias("sig"))
+    return sigs.where(F.col("sig") != F.lit(bytes(BYTES)))
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, earlier: DataFrame | None = None) -> DataFrame:
     """(doc_id, rep) for every document of a group of two or more; rep is the least doc_id of the group.
 
     Groups are the connected components of pairs within max_bits of the 256 bits;
     identical signatures are one from the start, so that many exact copies cost
-    nothing. Documents without a word, or without a doc_id, are in no group. Rows
-    that share a doc_id are one document. Further columns don't matter; an empty
-    table gives none.
+    nothing. earlier (doc_id, text): other texts of documents of docs, as they were
+    before lines were taken out; a document is near another if any of its texts is.
+    Documents without a word, or without a doc_id, are in no group. Rows
+    that share a doc_id are one document with several texts; a doc_id that is no
+    number raises. Further columns don't matter; an empty table gives none.
     """
-    small_batches(docs.sparkSession)
-    sig = F.arrow_udf(_signature_udf, "binary")
-    all_sigs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), sig("text").alias("sig"))
-    all_sigs = materialize(all_sigs.where(F.col("sig") != F.lit(bytes(BYTES))), "sigs")
+    all_sigs = doc_signatures(docs)
+    if earlier is not None:
+        own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
+        all_sigs = all_sigs.union(doc_signatures(earlier).join(own, "id", "left_semi").select("id", "sig")).distinct()
+    all_sigs = materialize(all_sigs, "sigs")
     same = materialize(all_sigs.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "same")
     copies = all_sigs.join(same.where("n > 1"), "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    edges = materialize(near_edges(same.select(F.col("rep").alias("id"), "sig").groupBy("id").agg(F.min("sig").alias("sig")), max_bits), "edges")
+    edges = materialize(near_edges(same.select(F.col("rep").alias("id"), "sig"), max_bits).where("a <> b"), "edges")
     return components(copies.union(edges)).select(F.col("node").alias("doc_id"), F.col("root").alias("rep"))
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without the documents that are near duplicates of one with a lesser doc_id; rows without a doc_id stay."""
-    gone = near_duplicates(docs, max_bits).where("doc_id <> rep")
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, earlier: DataFrame | None = None) -> DataFrame:
+    """docs without the documents that are near duplicates of one with a lesser doc_id; rows without a doc_id stay. An empty table gives an empty one. See near_duplicates."""
+    gone = near_duplicates(docs, max_bits, earlier).where("doc_id <> rep")
     key = unused(docs, "gone_id")
     gone = gone.select(F.col("doc_id").alias(key)).hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")

@@ -64,7 +64,14 @@ def test_simhash(docs, empty):
     assert pairs == {(5, 5), (6, 5)}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(DOCS) - 1 and kept.where("doc_id = 6").count() == 0
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty, earlier=docs).count() == 0
+    words = [f"w{i * 7919 % 1000}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:59] + ["other"]), " ".join(reversed([w + "x" for w in words]))
+    rows = [(1, a), (2, b), (2, c), (3, c), (4, "short one")]
+    two = {(r["doc_id"], r["rep"]) for r in simhash.near_duplicates(docs.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert two == {(1, 1), (2, 1), (3, 1)}  # document 2 has two texts, and links what they are near to
+    left = docs.sparkSession.createDataFrame([(1, a), (2, "only this line is left of it"), (9, "only this")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(left, earlier=docs.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 9]
 
 
 def test_mixing(docs, empty):
