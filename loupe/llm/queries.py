@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_recall_of_partitions": vectors.op8_recall_of_partitions,
     "op9_quality_gam": quality.op9_quality_gam,
     "op10_toxic_spans": toxicity.op10_toxic_spans,
+    "op10_span_scores": toxicity.op10_span_scores,
 }
 
 SQL: dict[str, str] = {

@@ -10,6 +10,7 @@ being one array operation over all that are long enough.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm import textvec as V
-from loupe.llm.common import read, small_batches, unused
+from loupe.llm.common import materialize, read, small_batches, unused
 
 _END = V.table(".!?\n\r;")
 _N_SHAPE = 12
 _BEGIN_BYTES = 6
+LEAST_DOCS = 5
 
 
 @dataclass
@@ -159,13 +161,7 @@ def fit_doc_score(expected: np.ndarray, n_words: np.ndarray, y: np.ndarray, l2:
     return b
 
 
-def chains(w: Words, keep: np.ndarray) -> tuple[Words, np.ndarray]:
-    """The chains of which keep is true, and the words they have."""
-    at = np.repeat(keep, np.diff(np.r_[w.first, len(w.h)]))
-    return Words(None, w.h[at], w.begin[at], np.flatnonzero(w.head[at]), w.shape[at], w.head[at]), at
-
-
-def fit_crf(w: Words, tags: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 0.02, min_words: int = 3) -> Crf:
+def fit_crf(w: Words, tags: np.ndarray, rounds: int = 100, rate: float = 0.5, l2: float = 0.02, min_words: int = 3) -> Crf:
     """Maximum likelihood of the tags (0 or 1 for each word), with a quadratic penalty, by Adagrad on the whole gradient."""
     y = tags.astype(float)
     if not len(y) or not y.any():
@@ -198,29 +194,15 @@ def fit_crf(w: Words, tags: np.ndarray, rounds: int = 150, rate: float = 0.5, l2
     return m
 
 
-Pieces = list[tuple[V.Texts, np.ndarray]]
-
-
-def toxic_hashes(pieces: Pieces, least_docs: int = 5, least_odds: float = 8.0, least_z: float = 5.0) -> list[np.ndarray]:
-    """Hashes of the words, and of how words begin, that stand in far more toxic than other documents."""
-    seen: tuple[list, list] = ([], [])
-    for t, y in pieces:
-        w = words(t)
-        owner = w.tok.owner
-        for out, h in zip(seen, (w.h, w.begin), strict=True):
-            _, once = np.unique(V.mix(h + V.mix(owner.astype(np.uint64))), return_index=True)
-            u, inv = np.unique(h[once], return_inverse=True)
-            bad = y[owner[once]] > 0
-            out.append((u, np.bincount(inv, bad, len(u)), np.bincount(inv, ~bad, len(u))))
-    na, nb = (max(1, sum(int((y == v).sum()) for _, y in pieces)) for v in (1, 0))
+def toxic_hashes(seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_toxic: int, n_other: int, least_docs: int = LEAST_DOCS, least_odds: float = 8.0, least_z: float = 5.0) -> list[np.ndarray]:
+    """Of (hashes, toxic documents that have it, other documents that have it), the sorted hashes that stand in far more toxic documents."""
+    na, nb = max(1, n_toxic), max(1, n_other)
     found = []
-    for parts in seen:
-        u, inv = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        a, b = (np.bincount(inv, np.concatenate([x[i] for x in parts]), len(u)) for i in (1, 2))
+    for u, a, b in seen:
         pool = (a + b) / (na + nb)
         z = (a / na - b / nb) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / na + 1 / nb), 1e-12))
         odds = (a + 0.5) / (na + 1) / ((b + 0.5) / (nb + 1))
-        found.append(u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)])
+        found.append(np.sort(u[(a >= least_docs) & (odds >= least_odds) & (z >= least_z)]))
     return found
 
 
@@ -229,58 +211,132 @@ def token_tags(w: Words, toxic: np.ndarray, bad: list[np.ndarray]) -> np.ndarray
     return ((np.isin(w.h, bad[0]) | np.isin(w.begin, bad[1])) & (toxic[w.tok.owner] > 0)).astype(np.int64)
 
 
-def fit_labelled(texts: list[str], toxic: np.ndarray, others: int = 3) -> Crf:
-    """From texts with labels (0 or 1): tags by token_tags; the field from the sentences with a tag and others times as many without; the score from all texts.
+def span_tags(texts: V.Texts, w: Words, marks: list[list[dict] | None]) -> np.ndarray:
+    """Tags from marked spans of each text, in characters: words that share a character with one."""
+    starts, ends, _ = _character_places(texts, w, np.arange(len(w.h)), np.arange(len(w.h)))
+    out = np.zeros(len(w.h), np.int64)
+    for i, spans in enumerate(marks):
+        at = slice(w.tok.lo[i], w.tok.hi[i])
+        for x in spans or []:
+            out[at] |= (starts[at] < x["end"]) & (ends[at] > x["begin"])
+    return out
 
-    Words are found anew, piece by piece of texts, in each of four passes: those of all texts at once would need many times the memory of the texts.
-    """
-    pieces: Pieces = []
-    at = 0
-    for t in V.pieces(pa.array(texts, pa.string())):
-        pieces.append((t, toxic[at : at + len(t)]))
-        at += len(t)
-    bad = toxic_hashes(pieces)
-    tagged = []  # of each piece, which chains have a tag
-    for t, y in pieces:
-        w = words(t)
-        tagged.append(np.add.reduceat(token_tags(w, y, bad), w.first) > 0 if len(w.h) else np.zeros(0, bool))
-    n_has, n_rest = sum(int(x.sum()) for x in tagged), sum(int((~x).sum()) for x in tagged)
-    stride = max(1, n_rest // max(1, others * n_has))
-    parts, tags, rank = [], [], 0
-    for (t, y), has in zip(pieces, tagged, strict=True):
-        w = words(t)
-        keep, rest = has.copy(), np.flatnonzero(~has)
-        keep[rest[(rank + np.arange(len(rest))) % stride == 0]] = True
-        rank += len(rest)
-        part, of = chains(w, keep)
-        parts.append(part)
-        tags.append(token_tags(w, y, bad)[of])
-    if not any(len(p.h) for p in parts):
-        return Crf()
-    h, begin, shape, head = (np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "begin", "shape", "head"))
-    m = fit_crf(Words(None, h, begin, np.flatnonzero(head), shape, head), np.concatenate(tags))
-    if n_has:
-        expected, count = [], []
-        for t, _ in pieces:
-            w = words(t)
-            p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
-            expected.append(np.bincount(w.tok.owner, p, len(t)))
-            count.append(w.tok.count)
-        m.doc = fit_doc_score(np.concatenate(expected), np.concatenate(count), toxic)
-    return m
+
+def _character_places(texts: V.Texts, w: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of words begin and end in their text, in characters, and their texts."""
+    chars = np.r_[0, np.cumsum((texts.data & 0xC0) != 0x80)]
+    owner = w.tok.owner[first]
+    base = chars[texts.start[owner]]
+    return chars[w.tok.start[first]] - base, chars[w.tok.end[last]] - base, owner
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 8000) -> Crf:
-    """Trains on at most about max_train_rows labelled documents, chosen by hash; labels: doc_id, toxic (0 or 1)."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, h, bad, good): for words (kind 0) and how they begin (1), in how many toxic and other texts of a batch they stand."""
+    for b in batches:
+        toxic, at = b.column(1).to_numpy(), 0
+        for t in V.pieces(b.column(0)):
+            y = toxic[at : at + len(t)]
+            at += len(t)
+            w = words(t)
+            owner = w.tok.owner
+            for kind, h in enumerate((w.h, w.begin)):
+                _, once = np.unique(V.mix(h + V.mix(owner.astype(np.uint64))), return_index=True)
+                u, inv = np.unique(h[once], return_inverse=True)
+                bad = y[owner[once]] > 0
+                cols = [np.full(len(u), kind, np.int32), u.view(np.int64), np.bincount(inv, bad, len(u)).astype(np.int64), np.bincount(inv, ~bad, len(u)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "h", "bad", "good"])
+
+
+def _tag_chains(bad: list[np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (text, toxic, marks) to chains: (key, tagged, h, begin, shape, tags). Tags are from the hashes of bad words, or without them from marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toxic, at = b.column(1).to_numpy(), 0
+            for t in V.pieces(b.column(0)):
+                w = words(t)
+                y = toxic[at : at + len(t)]
+                tags = span_tags(t, w, b.column(2).slice(at, len(t)).to_pylist()) if bad is None else token_tags(w, y, bad)
+                at += len(t)
+                if not len(w.h):
+                    continue
+                cut = np.r_[w.first, len(w.h)]
+                # equal chains have equal keys, so that what is kept of a sample doesn't depend on batches
+                key = V.mix(np.add.reduceat(V.mix(w.h + np.arange(len(w.h), dtype=np.uint64) - np.repeat(w.first, np.diff(cut)).astype(np.uint64)), w.first))
+                lists = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x, kind in ((w.h, np.uint64), (w.begin, np.uint64), (w.shape, np.uint8), (tags, np.uint8))]
+                cols = [pa.array(key.view(np.int64)), pa.array(np.add.reduceat(tags, w.first) > 0), *[pa.array(x, pa.binary()) for x in lists]]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "tagged", "h", "begin", "shape", "tags"])
+
+    return run
+
+
+def _expected_words(m: Crf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for t in V.pieces(b.column(0)):
+                w = words(t)
+                p, _, _ = marginals(w.first, m.emissions(w, m.neighbours(w)), m.start, m.trans)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(t)), pa.array(np.bincount(w.tok.owner, p, len(t))), pa.array(w.tok.count.astype(np.int64))], ["toxic", "expected", "n_words"])
+                at += len(t)
+
+    return run
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 8000, max_chains: int = 40_000, others: int = 3, spans: DataFrame | None = None) -> Crf:
+    """Trains on at most about max_train_rows labelled documents, chosen by hash; labels: doc_id, toxic (0 or 1).
+
+    spans (doc_id, begin, end): the labelled tokens, as spans of characters; without
+    them the words that stand in far more toxic documents are taken as labelled in
+    toxic ones. The field is fitted on the chains with a tag and others times as many
+    without, at most max_chains in all, the score on all the documents. Words are
+    hashed and counted on the executors; the driver gets counts and chains.
+
+    Rows without doc_id, text or a label of 0 or 1 don't count; of labels that repeat
+    the greater counts; a document that repeats is trained on as often as it stands. No
+    rows, or none that is toxic, give a model that scores 0 and finds nothing.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = rows.count()
     if n > max_train_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train_rows / n))
     # the sample has a bounded number of rows, so that it can be sent to all tasks
-    got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").toPandas().sort_values(["doc_id", "text"])
-    return fit_labelled(got["text"].tolist(), got["toxic"].to_numpy()) if len(got) else Crf()
+    sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null")
+    kind = "array<struct<begin:int,end:int>>"
+    if spans is not None:
+        marks = spans.join(F.broadcast(rows.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))).alias("marks"))
+        sample = sample.join(marks, "doc_id", "left").select("text", "toxic", "marks")
+    else:
+        sample = sample.select("text", "toxic", F.lit(None).cast(kind).alias("marks"))
+    sample = materialize(sample, "labelled")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not sizes.get(1):
+        return Crf()
+    bad = None
+    if spans is None:
+        found = sample.mapInArrow(_word_counts, "kind int, h long, bad long, good long").groupBy("kind", "h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST_DOCS).toPandas()
+        seen = [tuple(found.loc[found["kind"] == k, c].to_numpy() for c in ("h", "bad", "good")) for k in (0, 1)]
+        bad = [x.astype(np.int64).view(np.uint64) for x in toxic_hashes(seen, sizes[1], sizes.get(0, 0))]
+        bad = [np.sort(x) for x in bad]
+    chains = materialize(sample.mapInArrow(_tag_chains(bad), "key long, tagged boolean, h binary, begin binary, shape binary, tags binary"), "chains")
+    have = {r["tagged"]: r["count"] for r in chains.groupBy("tagged").count().collect()}
+    if not have.get(True):
+        return Crf()
+    share = min(1.0, max_chains / (1 + others) / have[True])
+    rest = min(1.0, share * others * have[True] / max(1, have.get(False, 0)))
+    part = F.pmod("key", F.lit(1_000_000)) < (F.when(F.col("tagged"), share).otherwise(rest) * 1_000_000)
+    got = chains.where(part).orderBy("key", "h").toPandas()
+    if not got["tagged"].any():
+        return Crf()
+    h, begin, shape, tags = (np.frombuffer(b"".join(got[c]), kind_) for c, kind_ in (("h", np.uint64), ("begin", np.uint64), ("shape", np.uint8), ("tags", np.uint8)))
+    head = np.zeros(len(h), bool)
+    head[np.cumsum([0, *[len(x) // 8 for x in got["h"]]])[:-1]] = True
+    m = fit_crf(Words(None, h, begin, np.flatnonzero(head), shape.astype(np.int64), head), tags.astype(np.int64))
+    e = sample.select("text", "toxic").mapInArrow(_expected_words(m), "toxic int, expected double, n_words long").toPandas().sort_values(["toxic", "n_words", "expected"])
+    m.doc = fit_doc_score(e["expected"].to_numpy(), e["n_words"].to_numpy(), e["toxic"].to_numpy())
+    return m
 
 
 def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,9 +360,8 @@ def tag(texts: V.Texts, m: Crf, least: float = 0.5) -> tuple[np.ndarray, np.ndar
     last[run[idx]] = idx
     prob = np.zeros(len(s))
     np.maximum.at(prob, run[idx], p[idx])
-    chars = np.r_[0, np.cumsum((texts.data & 0xC0) != 0x80)]
-    base = chars[texts.start[owner[s]]]
-    return scores, owner[s], chars[w.tok.start[s]] - base, chars[w.tok.end[last]] - base, prob
+    a, b, who = _character_places(texts, w, s, last)
+    return scores, who, a, b, prob
 
 
 def score_toxicity(docs: DataFrame, m: Crf, column: str = "toxicity") -> DataFrame:
@@ -314,7 +369,7 @@ def score_toxicity(docs: DataFrame, m: Crf, column: str = "toxicity") -> DataFra
 
     score is the probability that the text is toxic, spans are runs of toxic words, as character
     offsets from 0, end excluded. Null, empty and wordless texts score 0 without
-    spans. Each row is worked on by itself, over its whole text; repeated rows get
+    spans; an empty table gives an empty one. Each row is worked on by itself, over its whole text; repeated rows get
     the same; a column of that name stays and the new one gets underscores.
     """
     small_batches(docs.sparkSession)
@@ -338,9 +393,17 @@ def score_toxicity(docs: DataFrame, m: Crf, column: str = "toxicity") -> DataFra
     return docs.withColumn(unused(docs, column), F.arrow_udf(run, f"struct<{kind.replace('score double', 'score:double').replace('spans array', 'spans:array')}>")("text"))
 
 
-def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxic documents with their scores and offending offsets."""
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     m = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    out = score_toxicity(docs, m).select("doc_id", "toxicity.score", "toxicity.spans")
-    return out.where("score >= 0.5").select("doc_id", F.round("score", 6).alias("score"), "spans")
+    return score_toxicity(docs, m).select("doc_id", F.round("toxicity.score", 6).alias("score"), "toxicity.spans")
+
+
+def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents with their scores and offending offsets."""
+    return _scored(spark, sf_dir).where("score >= 0.5")
+
+
+def op10_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, all its spans and whether it counts as toxic: also passages too short to make their document toxic."""
+    return _scored(spark, sf_dir).withColumn("toxic", F.col("score") >= 0.5)

@@ -150,6 +150,7 @@ def test_stages(spark, docs, empty, labels, tmp_path, n):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     stage = corpus_pipeline.STAGES[n][1]
     plain = docs.select(*SCHEMA.replace("long", "").replace("string", "").replace(" ", "").split(","))
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
     out = stage(spark, plain, str(tmp_path))
     if n < 4:
         assert out.columns == plain.columns

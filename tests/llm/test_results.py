@@ -27,6 +27,7 @@ def texts(docs):
 
 
 def groups_of(sig: np.ndarray, ids: list[int], bits: int) -> set[frozenset[int]]:
+    """Of the documents ids, which may have several signatures each."""
     group = {i: {i} for i in ids}
     x = np.unpackbits(sig, axis=1)
     for i, j in itertools.combinations(range(len(ids)), 2):
@@ -124,6 +125,40 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
         assert all(0 <= s["begin"] < s["end"] <= len(text) and not text[s["begin"] : s["end"]].startswith(" ") for s in spans)
 
 
+@pytest.mark.parametrize("given", [True, False])
+def test_spans_are_the_planted_ones(spark, given):
+    """With labelled tokens, and with labels of documents alone: every planted word, and nothing else, on documents that were not trained on."""
+    rng = np.random.default_rng(8)
+    good, bad = [f"w\u00f6rd{i:03d}" for i in range(400)], [f"zork{i}" for i in "abcdefghij"]
+    rows, planted = [], {}
+    for i in range(600):
+        ws = [str(x) for x in rng.choice(good, 40)]
+        spots = sorted(int(x) for x in rng.choice(38, 3, replace=False)) if i % 3 == 0 else []
+        for x in spots:
+            ws[x] = str(rng.choice(bad))
+        text = ""
+        for k, x in enumerate(ws):
+            if k in spots:
+                planted.setdefault(i, []).append((len(text), len(text) + len(x)))
+            text += x + (". " if k % 10 == 9 else " ")
+        rows.append((i, text, int(bool(spots))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    spans = spark.createDataFrame([(i, a, b) for i, s in planted.items() for a, b in s], "doc_id long, begin int, end int")
+    m = toxicity.fit_toxicity(docs.drop("toxic"), docs.where("doc_id % 2 = 0").select("doc_id", "toxic"), spans=spans if given else None)
+    right = wrong = missed = 0
+    for r in toxicity.score_toxicity(docs.where("doc_id % 2 = 1"), m).collect():
+        got = set()
+        for x in r["toxicity"]["spans"]:  # neighbours are one span
+            at = x["begin"]
+            for word in r["text"][x["begin"] : x["end"]].split(" "):
+                got.add((at, at + len(word)))
+                at += len(word) + 1
+        want = set(planted.get(r["doc_id"], []))
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+        assert (r["toxicity"]["score"] >= 0.5) == bool(want)
+    assert right > 250 and wrong + missed <= 0.02 * right
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     emit, start, trans = rng.normal(size=9), rng.normal(size=2), rng.normal(size=(2, 2))
@@ -250,8 +285,13 @@ def test_pipeline_is_its_stages(spark, docs):
     lined = corpus_pipeline.materialize(corpus_pipeline.line_stage(spark, kept, SF))
     assert sorted((r["doc_id"], r["text"]) for r in lined.collect()) == sorted(rows)
     unique = corpus_pipeline.materialize(corpus_pipeline.near_duplicate_stage(spark, lined, SF))
-    pairs = simhash.near_duplicates(lined).where("doc_id <> rep")
-    assert {r["doc_id"] for r in unique.collect()} == {i for i, _ in rows} - {r["doc_id"] for r in pairs.collect()}
+    now = dict(rows)
+    before = dict(want[["doc_id", "text"]].itertuples(index=False))
+    ids = [i for i in sorted(now) for _ in (0, 1)]
+    sig = simhash.signatures(V.of([t for i in sorted(now) for t in (now[i], before[i])]))
+    gone = {i for g in groups_of(sig, ids, simhash.MAX_BITS) for i in g - {min(g)}}
+    assert gone
+    assert {r["doc_id"] for r in unique.collect()} == set(now) - gone
     mixed = corpus_pipeline.mixing_stage(spark, unique, SF)
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(unique, plan=True).collect()}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == plan
