@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,38 +84,61 @@ def _packed_texts(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def gram_lists(docs: DataFrame, parts: int, order: int = 3, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(n, part, chunk, grams, counts): for each chunk of docs (doc_id, text), its distinct n-grams by order (from 0) and partition; and with n = -1 the chunk itself, packed in grams."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["n", "part", "chunk", "grams", "counts"]
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, bytes, list[pa.RecordBatch]]]:
+    """(chunk, packed texts, batches). A chunk's number comes from what it holds: should a task read its rows in another order when it runs again, chunks don't mix."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
-    def explode(held: list[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def one() -> tuple[int, bytes, list[pa.RecordBatch]]:
         blob = _packed_texts(held)
-        # by its place and what it holds: should a task that runs again read its rows in another order, chunks don't mix
-        place = f"{TaskContext.get().partitionId()}-{turn}-".encode()
-        chunk = int.from_bytes(hashlib.blake2b(place + blob, digest_size=8).digest(), "little", signed=True)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((-1, chunk % parts, chunk, blob, None), types, strict=True)], names)
-        _, h, has = _chunk_grams(pa.chunked_array([b.column(1) for b in held]), order)
-        for n in range(order):
-            u, c = np.unique(h[n][has[n]], return_counts=True)
-            cut = np.r_[0, np.searchsorted(u, bounds), len(u)]
-            full = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            at = [(int(cut[p]), int(cut[p + 1])) for p in full]
-            cols = [[n] * len(full), full, [chunk] * len(full), [pack_sorted(u[a:b]) for a, b in at], [pack(c[a:b], 4) for a, b in at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
+        return int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True), blob, held
+
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= chunk_bytes:
+            yield one()
+            held, size = [], 0
+    if any(b.num_rows for b in held):
+        yield one()
+
+
+_TYPES = {"n": pa.int32(), "part": pa.int32(), "chunk": pa.int64(), "grams": pa.binary(), "counts": pa.binary()}
+
+
+def _rows(*columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES.values(), strict=True)], list(_TYPES))
+
+
+def hash_bits(grams: float) -> int:
+    """Bits of an n-gram's hash with which so many distinct ones have an eighth of a colliding pair, as expected; at most 64."""
+    return int(min(64, max(32, np.ceil(2 * np.log2(max(2.0, grams)) + 2))))
+
+
+def gram_lists(docs: DataFrame, parts: int, bits: int = 64, order: int = 3, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(n, part, chunk, grams, counts): for each chunk of docs (doc_id, text), its distinct n-grams by order (from 0) and partition."""
+    bounds = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = turn = 0
-        for b in batches:
-            held.append(b)
-            size += b.column(1).nbytes
-            if size >= chunk_bytes:
-                yield from explode(held, turn)
-                held, size, turn = [], 0, turn + 1
-        if any(b.num_rows for b in held):
-            yield from explode(held, turn)
+        for chunk, _, held in _chunks(batches, chunk_bytes):
+            _, h, has = _chunk_grams(pa.chunked_array([b.column(1) for b in held]), order)
+            for n in range(order):
+                u, c = np.unique(h[n][has[n]] >> shift, return_counts=True)
+                cut = np.r_[0, np.searchsorted(u, bounds), len(u)]
+                full = [p for p in range(parts) if cut[p + 1] > cut[p]]
+                at = [(int(cut[p]), int(cut[p + 1])) for p in full]
+                yield _rows([n] * len(full), full, [chunk] * len(full), [pack_sorted(u[a:b]) for a, b in at], [pack(c[a:b], 4) for a, b in at])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _LISTS)
+
+
+def chunk_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The same chunks themselves, packed in grams, with n = -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, blob, _ in _chunks(batches, chunk_bytes):
+            yield _rows([-1], [0], [chunk], [blob], [None])
 
     return docs.select("doc_id", "text").mapInArrow(run, _LISTS)
 
@@ -126,9 +148,6 @@ def count_table(lists: DataFrame, least: int = 2) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         n, part = t["n"][0].as_py(), t["part"][0].as_py()
-        out = pa.table({"n": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32()), "grams": pa.array([b""], pa.binary()), "counts": pa.array([b""], pa.binary())})
-        if n < 0:
-            return out.slice(0, 0)
         grams = np.concatenate([unpack_sorted(x.as_py()) for x in t["grams"]])
         c = np.concatenate([unpack(x.as_py(), 4) for x in t["counts"]]).astype(np.uint64)
         order = np.argsort(grams)
@@ -136,15 +155,13 @@ def count_table(lists: DataFrame, least: int = 2) -> DataFrame:
         first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         total, grams = np.add.reduceat(c, first), grams[first]
         keep = total >= least
-        return out.set_column(2, "grams", pa.array([pack_sorted(grams[keep])], pa.binary())).set_column(3, "counts", pa.array([pack(total[keep], 8)], pa.binary()))
+        return pa.table({"n": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32()), "grams": pa.array([pack_sorted(grams[keep])], pa.binary()), "counts": pa.array([pack(total[keep], 8)], pa.binary())})
 
     return lists.groupBy("n", "part").applyInArrow(count, "n int, part int, grams binary, counts binary")
 
 
 def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The corpus counts of each list's n-grams, in its order; 1 for what the table lacks. Chunks go through."""
-    if not len(left) or left["n"][0].as_py() < 0:
-        return left
+    """The corpus counts of each list's n-grams, in its order; 1 for what the table lacks."""
     grams, total = unpack_sorted(right["grams"][0].as_py()), unpack(right["counts"][0].as_py(), 8)
     said = []
     for x in left["grams"]:
@@ -174,10 +191,11 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
+    bits = hash_bits(size * order / 6)  # a token and its space have some six bytes
 
     def score(t: pa.Table) -> pa.Table:
         own = t.filter(pc.less(t["n"], 0))
-        if len(own) != 1:
+        if not len(own):
             raise RuntimeError("a chunk was made twice in different ways; write docs to a table first")
         left = pa.ipc.open_stream(own["grams"][0].as_py()).read_all()
         counts, h, has = _chunk_grams(left["text"], order)
@@ -185,8 +203,10 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
         found = {(n, part): blob for n, part, blob in zip(rest["n"].to_pylist(), rest["part"].to_pylist(), rest["counts"], strict=True)}
         c = []
         for n in range(order):
-            _, inv = np.unique(h[n][has[n]], return_inverse=True)
+            _, inv = np.unique(h[n][has[n]] >> np.uint64(64 - bits), return_inverse=True)
             got = [unpack(found[n, p].as_py(), 8) for p in range(parts) if (n, p) in found]
+            if sum(map(len, got)) != (inv.max() + 1 if len(inv) else 0):
+                raise RuntimeError("a chunk was made twice in different ways; write docs to a table first")
             x = np.zeros(len(h[n]))
             x[has[n]] = (np.concatenate(got) if got else np.zeros(0))[inv]
             c.append(x)
@@ -199,11 +219,13 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
             out[open_ & has[n]] += np.log(alpha)
         out[open_] += np.log(c[0][open_])
         owner = np.repeat(np.arange(len(counts)), counts)
-        return pa.table({"doc_id": left["doc_id"], "n_tokens": pa.array(counts, pa.int64()), "by_word": pa.array(np.bincount(owner, open_, len(counts)).astype(np.int64)), "log_score": pa.array(np.bincount(owner, out, len(counts)), pa.float64())})
+        scores = pa.table({"doc_id": left["doc_id"], "n_tokens": pa.array(counts, pa.int64()), "by_word": pa.array(np.bincount(owner, open_, len(counts)).astype(np.int64)), "log_score": pa.array(np.bincount(owner, out, len(counts)), pa.float64())})
+        return pa.concat_tables([scores] * len(own))  # chunks of the same rows are one
 
-    lists = gram_lists(docs, parts, order, chunk_bytes)
+    lists = gram_lists(docs, parts, bits, order, chunk_bytes)
     table = count_table(lists)
-    said = lists.groupBy("n", "part").cogroup(table.groupBy("n", "part")).applyInArrow(_look_up, "n int, part int, chunk long, grams binary, counts binary")
+    said = lists.groupBy("n", "part").cogroup(table.groupBy("n", "part")).applyInArrow(_look_up, _LISTS)
+    said = said.unionByName(chunk_texts(docs, chunk_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = said.groupBy("chunk").applyInArrow(score, f"doc_id {kind}, n_tokens long, by_word long, log_score double")
     out = materialize(out, "scores")
