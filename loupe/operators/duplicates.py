@@ -1,8 +1,11 @@
 """Duplicate blocks: exact ones by a hash of their normal form, similar ones by winnowing.
 
-Similar pairs are candidates if they share a fingerprint. The score is 0.7 times the
-Jaccard index of fingerprints plus 0.3 times a token share of at most 1, so that with a
-threshold above 0.3 a pair without a common fingerprint can't reach it: nothing is lost.
+Blocks of the same tokens are one class, and only its least block is compared; the
+others are given as members. Similar pairs are candidates if they share one of the
+rarest fingerprints of each, as many as the threshold needs: a pair that shares none
+of them can't reach it, so nothing is lost, and prints that stand everywhere are not
+joined. The score is 0.7 times the Jaccard index of fingerprints plus 0.3 times a
+token share of at most 1, so that a threshold above 0.3 bounds the Jaccard index.
 """
 
 from __future__ import annotations
@@ -50,45 +53,71 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").alias("block_id"), F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"))
 
 
-def fingerprints(blocks: DataFrame, k: int = 17, w: int = 4) -> DataFrame:
-    """(block_id, h): of each w neighbouring hashes of k tokens the least."""
+def print_sets(blocks: DataFrame, k: int = 17, w: int = 4) -> DataFrame:
+    """(block_id, prints): of each w neighbouring hashes of k tokens the least, distinct. No row leaves its task."""
     t = blocks.select("block_id", tokens(normalize("content")).alias("w")).where(F.size("w") >= k + w - 1)
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.substring(F.md5(F.array_join(F.slice("w", i + 1, k), " ")), 1, 8))
-    g = t.select("block_id", F.posexplode(grams).alias("pos", "g"))
-    low = F.min("g").over(Window.partitionBy("block_id").orderBy("pos").rowsBetween(1 - w, 0))
-    return g.select("block_id", "pos", low.alias("h")).where(F.col("pos") >= w - 1).select("block_id", "h").distinct()
-
-
-def jaccard_pairs(prints: DataFrame, other: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """(a, b, shared, jaccard) of blocks that share a fingerprint: a < b within prints, or a of prints and b of other. Prints that stand once drop out before the join."""
-    sizes = prints.groupBy("block_id").agg(F.count("*").alias("n"))
-    left = prints.join(sizes, "block_id").select(F.col("block_id").alias("a"), "h", F.col("n").alias("na"))
-    if other is None:
-        shared = prints.groupBy("h").count().where("count > 1").select("h")
-        left = left.join(shared, "h", "left_semi")
-        right = left.select(F.col("a").alias("b"), "h", F.col("na").alias("nb"))
-        j = left.join(right, "h").where("a < b")
-    else:
-        right = other.join(other.groupBy("block_id").agg(F.count("*").alias("n")), "block_id").select(F.col("block_id").alias("b"), "h", F.col("n").alias("nb"))
-        j = left.join(right, "h")
-    if least > 0:  # sizes alone bound the index
-        j = j.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    p = j.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return p.select("a", "b", "shared", (F.col("shared").cast("double") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    g = t.select("block_id", F.explode(F.array(grams)).alias("g"))  # a row of its own, so that grams are found once and not in every window
+    low = F.transform(F.sequence(F.lit(1), F.size("g") - w + 1), lambda i: F.array_min(F.slice("g", i, w)))
+    return g.select("block_id", F.array_distinct(low).alias("prints"))
+
+
+def fingerprints(blocks: DataFrame, k: int = 17, w: int = 4) -> DataFrame:
+    """(block_id, h): print_sets, a row each."""
+    return print_sets(blocks, k, w).select("block_id", F.explode("prints").alias("h"))
+
+
+def classes(blocks: DataFrame) -> DataFrame:
+    """(block_id, rep): the least block of the same tokens."""
+    t = blocks.select("block_id", F.sha2(F.array_join(tokens(normalize("content")), " "), 256).alias("t"))
+    return t.join(t.groupBy("t").agg(F.min("block_id").alias("rep")), "t").select("block_id", "rep")
+
+
+def representatives(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks that are the least of their class, and (a, b) of each class's least block and every other."""
+    c = classes(blocks)
+    return blocks.join(c.where("block_id = rep").select("block_id"), "block_id", "left_semi"), c.where("block_id <> rep").select(F.col("rep").alias("a"), F.col("block_id").alias("b"))
+
+
+def _rarest(sets: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """(block_id, h, n) of as many of a block's rarest prints as a Jaccard index of least needs: with one more missing, too few are left to share."""
+    p = sets.select("block_id", F.size("prints").alias("n"), F.explode("prints").alias("h")).join(df, "h")
+    p = p.withColumn("turn", F.row_number().over(Window.partitionBy("block_id").orderBy("df", "h")))
+    return p.where(F.col("turn") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("block_id", "h", "n")
+
+
+def jaccard_pairs(sets: DataFrame, other: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b, shared, jaccard) of blocks (block_id, prints) that share a fingerprint and have at least that index: a < b within sets, or a of sets and b of other."""
+    rows = sets.select(F.explode("prints").alias("h")) if other is None else sets.select(F.explode("prints").alias("h")).unionByName(other.select(F.explode("prints").alias("h")))
+    df = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    left = _rarest(sets, df, least)
+    right = left if other is None else _rarest(other, df, least)
+    j = left.select(F.col("block_id").alias("a"), "h", F.col("n").alias("na")).join(right.select(F.col("block_id").alias("b"), "h", F.col("n").alias("nb")), "h")
+    j = j.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    pairs = (j.where("a < b") if other is None else j).select("a", "b").distinct()
+    pb = (sets if other is None else other).select(F.col("block_id").alias("b"), F.col("prints").alias("pb"))
+    p = pairs.join(sets.select(F.col("block_id").alias("a"), F.col("prints").alias("pa")), "a").join(pb, "b")
+    p = p.select("a", "b", F.size(F.array_intersect("pa", "pb")).cast("long").alias("shared"), (F.size("pa") + F.size("pb")).alias("both"))
+    return p.select("a", "b", "shared", (F.col("shared").cast("double") / (F.col("both") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def scored_pairs(blocks: DataFrame, threshold: float = 0.8, k: int = 17, w: int = 4) -> DataFrame:
-    """(a, b, score, jaccard) with at least the threshold; the token share counts a's tokens that b has, and a is the lesser block."""
+    """(a, b, jaccard, score) with at least the threshold; the token share counts a's tokens that b has, and a is the lesser block.
+
+    Blocks of the same tokens, long enough to have prints, are one pair a block, with the least of them: both values are 1.
+    """
     if threshold <= 0.3:
         raise ValueError("with a threshold of 0.3 or less pairs without a common fingerprint would count")
-    p = jaccard_pairs(fingerprints(blocks, k, w), least=(threshold - 0.3) / 0.7)
-    t = blocks.select("block_id", tokens(normalize("content")).alias("w"))
+    blocks = blocks.select("block_id", "content").where(F.size(tokens(normalize("content"))) >= k + w - 1)
+    alone, members = representatives(blocks)
+    p = jaccard_pairs(print_sets(alone, k, w), least=(threshold - 0.3) / 0.7)
+    t = alone.select("block_id", tokens(normalize("content")).alias("w"))
     p = p.join(t.select(F.col("block_id").alias("a"), F.col("w").alias("wa")), "a").join(t.select(F.col("block_id").alias("b"), F.col("w").alias("wb")), "b")
-    has = F.map_from_arrays(F.array_distinct("wb"), F.transform(F.array_distinct("wb"), lambda _: F.lit(1)))
-    p = p.withColumn("has", has)
+    p = p.withColumn("has", F.explode(F.array(F.map_from_arrays(F.array_distinct("wb"), F.transform(F.array_distinct("wb"), lambda _: F.lit(1))))))
     common = F.size(F.filter("wa", lambda x: F.map_contains_key("has", x)))
     score = 0.7 * F.col("jaccard") + 0.3 * common / F.greatest(F.size("wa"), F.size("wb"))
-    return p.select("a", "b", "jaccard", score.alias("score")).where(F.col("score") >= threshold)
+    near = p.select("a", "b", "jaccard", score.alias("score")).where(F.col("score") >= threshold)
+    return near.unionByName(members.select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("score")))
 
 
 def exact_groups(blocks: DataFrame) -> DataFrame:
@@ -98,13 +127,30 @@ def exact_groups(blocks: DataFrame) -> DataFrame:
 
 
 def exact_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b) of blocks of one hash, a before b by file and line; not of one file within three lines."""
-    h = blocks.select("block_id", "file_path", "start_line", "end_line", "content", similarity_hash(normalize("content")).alias("h"))
-    a = h.select("h", *[F.col(c).alias(f"{c}_a") for c in h.columns if c != "h"])
-    b = h.select("h", *[F.col(c).alias(f"{c}_b") for c in h.columns if c != "h"])
-    order = F.struct("file_path_a", "start_line_a", "block_id_a") < F.struct("file_path_b", "start_line_b", "block_id_b")
-    near = (F.col("file_path_a") == F.col("file_path_b")) & (F.abs(F.col("start_line_a") - F.col("start_line_b")) < 3)
-    return a.join(b, "h").where(order & ~near)
+    """(a, b) of blocks of one hash: each block with the first of its hash by file and line; not blocks of one file within three lines.
+
+    A block that is so near the first goes with the first that is not, if there is one.
+    Linear in the blocks: m copies give m - 1 rows.
+    """
+    cols = ["file_path", "start_line", "block_id", "end_line", "content"]
+    h = blocks.select(F.struct(*cols[:4]).alias("x"), "content", similarity_hash(normalize("content")).alias("h"))
+    first = h.groupBy("h").agg(F.min("x").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = lambda a, b: (F.col(f"{a}.file_path") == F.col(f"{b}.file_path")) & (F.abs(F.col(f"{a}.start_line") - F.col(f"{b}.start_line")) < 3)
+    j = h.join(first, "h")
+    second = j.where(~near("x", "one")).groupBy("h").agg(F.min("x").alias("two"))
+    j = j.where("x <> one").join(second, "h", "left")
+    a = F.when(~near("x", "one"), F.col("one")).when(F.col("two").isNotNull() & ~near("x", "two"), F.col("two"))
+    j = j.withColumn("a", a).where("a is not null")
+    same = lambda s, c: F.col(f"{s}.{c}")
+    swap = F.struct("a.file_path", "a.start_line", "a.block_id") > F.struct("x.file_path", "x.start_line", "x.block_id")
+    # both have one hash but may differ in names: the content of a is read from its own row
+    texts = h.select(F.col("x").alias("a"), F.col("content").alias("content_first")).join(j.select("a").distinct(), "a", "left_semi")
+    j = j.join(texts, "a")
+    out = []
+    for c in cols:
+        ca, cb = (F.col("content_first"), F.col("content")) if c == "content" else (same("a", c), same("x", c))
+        out += [F.when(swap, cb).otherwise(ca).alias(f"{c}_a"), F.when(swap, ca).otherwise(cb).alias(f"{c}_b")]
+    return j.select("h", *out)
 
 
 def preview(content: Column) -> Column:
@@ -113,7 +159,7 @@ def preview(content: Column) -> Column:
 
 
 def duplicate_findings(blocks: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Two findings a pair of exact duplicates, and one a pair of similar blocks of different files."""
+    """Two findings a pair of exact duplicates (see exact_pairs), and one a pair of similar blocks of different files."""
     parts = []
     if least := config.get("min_tokens", 0):
         blocks = blocks.where(F.size(tokens("content")) >= least)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -29,23 +30,28 @@ class Pattern:
     message: str
     severity: str
     cwe: int
+    gate: str  # words of which a match has one in lower case; none: four digits in a match
+
+    def may(self, low: Column) -> Column:
+        """Whether a line may have a match, by its lower case: far cheaper than the expression."""
+        return reduce(lambda a, b: a | b, [low.contains(x) for x in self.gate.split()]) if self.gate else low.rlike("[0-9]{4}")
 
 
 PATTERNS = [
-    Pattern("aws_key", "secret", "AKIA" + "[0-9A-Z]" + "{16}", "AWS Access Key ID", "Critical", 798),
-    Pattern("aws_secret", "secret", "[_-]?".join(["aws", "secret", "access", "key"]) + _KEYED + "[a-z0-9/+]{40}", "AWS Secret Access Key", "Critical", 798),
-    Pattern("github", "secret", "ghp_" + "[a-z0-9]{36}", "GitHub personal access token", "Critical", 798),
-    Pattern("openai", "secret", "sk-" + "[a-z0-9]{48,}", "OpenAI API key", "Critical", 798),
-    Pattern("api_key", "secret", "api[_-]?key" + _KEYED + _B64 + "{20,}", "API Key", "High", 798),
-    Pattern("jwt", "secret", "eyJ" + _B64 + r"+\.eyJ" + _B64 + r"+\." + _B64 + "+", "JWT token", "High", 798),
-    Pattern("eval", "vulnerability", r"\beval" + _ARG, "eval() of joined strings", "Critical", 94),
-    Pattern("exec", "vulnerability", r"\bexec" + _ARG, "exec() of joined strings", "Critical", 94),
-    Pattern("os_system", "vulnerability", r"os\.system" + _ARG, "os.system() of joined strings", "Critical", 78),
-    Pattern("sql", "vulnerability", r"(?:query|execute)\s*\(\s*" + _Q + _NQ + r"\+" + _NQ + _Q, "SQL built from joined strings", "High", 89),
-    Pattern("pickle", "vulnerability", r"pickle\.loads?\s*\(", "pickle of untrusted data", "Critical", 502),
-    Pattern("email", "pii", r"\b[\w.%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b", "Email address", "Medium", 200),
-    Pattern("phone", "pii", r"\b(?:\+1" + _SEP + r")?\(?" + _N + r"{3}\)?" + _SEP + _N + "{3}" + _SEP + _N + r"{4}\b", "US phone number", "Medium", 200),
-    Pattern("ssn", "pii", "-".join([r"\b" + _N + "{3}", _N + "{2}", _N + r"{4}\b"]), "US social security number", "High", 200),
+    Pattern("aws_key", "secret", "AKIA" + "[0-9A-Z]" + "{16}", "AWS Access Key ID", "Critical", 798, "akia"),
+    Pattern("aws_secret", "secret", "[_-]?".join(["aws", "secret", "access", "key"]) + _KEYED + "[a-z0-9/+]{40}", "AWS Secret Access Key", "Critical", 798, "aws"),
+    Pattern("github", "secret", "ghp_" + "[a-z0-9]{36}", "GitHub personal access token", "Critical", 798, "ghp_"),
+    Pattern("openai", "secret", "sk-" + "[a-z0-9]{48,}", "OpenAI API key", "Critical", 798, "sk-"),
+    Pattern("api_key", "secret", "api[_-]?key" + _KEYED + _B64 + "{20,}", "API Key", "High", 798, "api"),
+    Pattern("jwt", "secret", "eyJ" + _B64 + r"+\.eyJ" + _B64 + r"+\." + _B64 + "+", "JWT token", "High", 798, "eyj"),
+    Pattern("eval", "vulnerability", r"\beval" + _ARG, "eval() of joined strings", "Critical", 94, "eval"),
+    Pattern("exec", "vulnerability", r"\bexec" + _ARG, "exec() of joined strings", "Critical", 94, "exec"),
+    Pattern("os_system", "vulnerability", r"os\.system" + _ARG, "os.system() of joined strings", "Critical", 78, "os.system"),
+    Pattern("sql", "vulnerability", r"(?:query|execute)\s*\(\s*" + _Q + _NQ + r"\+" + _NQ + _Q, "SQL built from joined strings", "High", 89, "query execute"),
+    Pattern("pickle", "vulnerability", r"pickle\.loads?\s*\(", "pickle of untrusted data", "Critical", 502, "pickle.load"),
+    Pattern("email", "pii", r"\b[\w.%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b", "Email address", "Medium", 200, "@"),
+    Pattern("phone", "pii", r"\b(?:\+1" + _SEP + r")?\(?" + _N + r"{3}\)?" + _SEP + _N + "{3}" + _SEP + _N + r"{4}\b", "US phone number", "Medium", 200, ""),
+    Pattern("ssn", "pii", "-".join([r"\b" + _N + "{3}", _N + "{2}", _N + r"{4}\b"]), "US social security number", "High", 200, "-"),
 ]
 BY_NAME = {p.name: p for p in PATTERNS}
 TEST_WORDS = "demo|dummy|example|fake|fixme|mock|placeholder|sample|test|todo|xxx"
@@ -54,26 +60,32 @@ _ASSIGNED = r"=\s*(" + _B64 + r"{20,})(?:\s|$)"
 _HARMLESS = r"\.net|\.org|/|\\|com|http|www"
 
 
+def is_test(low: Column) -> Column:
+    """Whether a line in lower case has a word of test data."""
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in TEST_WORDS.split("|")])
+
+
 def matches(line_rows: DataFrame, p: Pattern, config: dict[str, Any]) -> DataFrame:
     """line_rows with text and column (from 1) of each match of the pattern, less test data and allowed personal data."""
     rx = "(?i)" + p.regex
-    hit = line_rows.where(F.col("line").rlike(rx))
+    low = F.lower("line")
+    hit = line_rows.where(p.may(low) & F.col("line").rlike(rx))
     if config.get("skip_test_data", True):
-        hit = hit.where(~F.lower("line").rlike(TEST_WORDS))
+        hit = hit.where(~is_test(low))
     hit = hit.withColumn("m", F.explode(match_columns("line", rx))).select(*line_rows.columns, "m.text", "m.column")
     allow = config.get("allow") or []
     return hit.where(~F.col("text").isin(allow)) if p.group == "pii" and allow else hit
 
 
 def pattern_findings(files: DataFrame, config: dict[str, Any], patterns: list[Pattern] = PATTERNS) -> DataFrame:
-    """A finding for each match of each pattern in each line, in one pass: one expression of all patterns drops most lines before each is tried by itself."""
-    ls = lines(files)
-    hit = ls.where(F.col("line").rlike("(?i)" + "|".join(f"(?:{p.regex})" for p in patterns)))
+    """A finding for each match of each pattern in each line, in one pass: each expression is tried only on lines that have one of its words."""
+    low = F.col("low")
+    hit = lines(files).withColumn("low", F.lower("line")).where(reduce(lambda a, b: a | b, [p.may(low) for p in patterns]))
     if config.get("skip_test_data", True):
-        hit = hit.where(~F.lower("line").rlike(TEST_WORDS))
+        hit = hit.where(~is_test(low))
     each = F.array(*[
         F.struct(
-            F.regexp_extract_all("line", F.lit("(?i)" + p.regex), F.lit(0)).alias("found"), F.lit(p.group).alias("group"), F.lit(p.severity).alias("severity"), F.lit(p.message).alias("message"), F.lit(p.cwe).alias("cwe"),
+            F.when(p.may(low), F.regexp_extract_all("line", F.lit("(?i)" + p.regex), F.lit(0))).alias("found"), F.lit(p.group).alias("group"), F.lit(p.severity).alias("severity"), F.lit(p.message).alias("message"), F.lit(p.cwe).alias("cwe"),
         )
         for p in patterns
     ])
@@ -99,7 +111,7 @@ def entropy_findings(files: DataFrame, config: dict[str, Any]) -> DataFrame:
     e = F.col("entropy")
     hit = entropy_candidates(files, config.get("min_string_length", 20)).where(e >= config.get("min_entropy", 4.5))
     if config.get("skip_test_data", True):
-        hit = hit.where(~F.lower("line").rlike(TEST_WORDS))
+        hit = hit.where(~is_test(F.lower("line")))
     return findings(hit, {
         "rule_id": "security-entropy-high", "category": "security", "severity": F.when(e < 5.0, "Medium").otherwise("High"), "message": F.format_string("High entropy string (entropy: %.2f)", e),
         "file_path": F.col("file_path"), "line_number": F.col("line_number"), "column_number": F.instr("line", F.col("text")), "context": F.trim("line"), "cwe": "CWE-798",
@@ -135,10 +147,11 @@ def security_findings(files: DataFrame, facts: DataFrame | None, config: dict[st
 
 def redaction_counts(files: DataFrame, config: dict[str, Any]) -> DataFrame:
     """(group, name, n) of matches over all patterns in one pass over the lines, without exploding them."""
+    low = F.lower("line")
     ls = lines(files)
     if config.get("skip_test_data", True):
-        ls = ls.where(~F.lower("line").rlike(TEST_WORDS))
-    counts: list[Column] = [F.sum(F.regexp_count("line", F.lit("(?i)" + p.regex))).alias(p.name) for p in PATTERNS]
+        ls = ls.where(~is_test(low))
+    counts: list[Column] = [F.sum(F.when(p.may(low), F.regexp_count("line", F.lit("(?i)" + p.regex))).otherwise(0)).alias(p.name) for p in PATTERNS]
     pairs = ", ".join(f"'{p.group}', '{p.name}', {p.name}" for p in PATTERNS)
     return ls.agg(*counts).selectExpr(f"stack({len(PATTERNS)}, {pairs}) as (pattern_group, pattern_name, n)").where("n > 0")
 

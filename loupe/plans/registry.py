@@ -191,27 +191,38 @@ def _prints_sql(table: str, key: str) -> str:
 
 
 _PRINTS = "with f as " + _prints_sql("documents", "doc_id")
-_PAIRS = (
-    _PRINTS + ", s as (select block_id, count(*) n from f group by 1), p as (select x.block_id a, y.block_id b, count(*) shared from f x join f y on x.h = y.h and x.block_id < y.block_id group by all), "
-    "j as (select a, b, shared, shared::double / (sa.n + sb.n - shared) jaccard from p join s sa on sa.block_id = a join s sb on sb.block_id = b)"
-)
 _add("dup_normalize", lambda s, d: _read(s, d, "documents").select("doc_id", F.md5(dup.normalize("text")).alias("digest")), f"select doc_id, md5({_NORM}) digest from documents")
 _add("dup_exact_groups", lambda s, d: dup.exact_groups(_blocks(s, d)).select("similarity_hash", "block_ids", "n_blocks"), f"select {_HASH.format(n=_NORM)} similarity_hash, list_sort(list(doc_id)) block_ids, count(*) n_blocks from documents group by 1 having count(*) > 1")
 _add(
     "dup_exact_pairs", lambda s, d: dup.exact_pairs(_blocks(s, d)).select(F.least("block_id_a", "block_id_b").alias("a"), F.greatest("block_id_a", "block_id_b").alias("b")),
-    f"with h as (select doc_id, {_HASH.format(n=_NORM)} h from documents) select x.doc_id a, y.doc_id b from h x join h y on x.h = y.h and x.doc_id < y.doc_id",
+    f"with h as (select doc_id, {_HASH.format(n=_NORM)} h, concat(source, '/', doc_id) p from documents where source is not null), r as (select doc_id, first_value(doc_id) over (partition by h order by p) f from h) select least(f, doc_id) a, greatest(f, doc_id) b from r where f <> doc_id",
 )
 _add("dup_winnow_fingerprints", lambda s, d: dup.fingerprints(_blocks(s, d)), _PRINTS + " select block_id, h from f")
-_add("dup_jaccard_pairs", lambda s, d: dup.jaccard_pairs(dup.fingerprints(_blocks(s, d)), least=0.1).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard")), _PAIRS + " select a, b, shared, round(jaccard, 9) jaccard from j where jaccard >= 0.1")
+# classes of the same tokens: the least document stands for them, the others are its members
+_CLASSES = f"""t as (select doc_id, regexp_extract_all({_NORM}, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\\s]') w from documents where source is not null),
+    k as (select doc_id, w, min(doc_id) over (partition by array_to_string(w, ' ')) rep from t where len(w) >= 20)"""
+_PAIRS = (
+    _PRINTS + ", " + _CLASSES + ", r as (select f.* from f join k on k.doc_id = f.block_id and k.rep = k.doc_id), s as (select block_id, count(*) n from r group by 1), "
+    "p as (select x.block_id a, y.block_id b, count(*) shared from r x join r y on x.h = y.h and x.block_id < y.block_id group by all), "
+    "j as (select a, b, shared, shared::double / (sa.n + sb.n - shared) jaccard from p join s sa on sa.block_id = a join s sb on sb.block_id = b)"
+)
+
+
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alone, members = dup.representatives(_blocks(spark, sf_dir).where(F.size(dup.tokens(dup.normalize("content"))) >= 20))
+    pairs = dup.jaccard_pairs(dup.print_sets(alone), least=0.1).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return pairs.unionByName(members.select("a", "b", F.lit(1.0).alias("jaccard")))
+
+
+_add("dup_jaccard_pairs", _jaccard, _PAIRS + " select a, b, round(jaccard, 9) jaccard from j where jaccard >= 0.1 union all select rep, doc_id, 1.0 from k where rep <> doc_id")
 _add(
     "dup_score_pairs", lambda s, d: dup.scored_pairs(_blocks(s, d)).select("a", "b", F.round("score", 9).alias("score")),
-    _PAIRS + f""", t as (select doc_id, regexp_extract_all({_NORM}, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\\s]') w from documents),
-    c as (select a, b, jaccard, ta.w wa, tb.w wb from j join t ta on ta.doc_id = a join t tb on tb.doc_id = b where jaccard >= 0.7),
+    _PAIRS + """, c as (select a, b, jaccard, ta.w wa, tb.w wb from j join t ta on ta.doc_id = a join t tb on tb.doc_id = b where jaccard >= 0.7),
     z as (select a, b, 0.7::double * jaccard + 0.3::double * len(list_filter(wa, lambda x: list_contains(wb, x))) / greatest(len(wa), len(wb)) score from c)
-    select a, b, round(score, 9) score from z where score >= 0.8""",
+    select a, b, round(score, 9) score from z where score >= 0.8 union all select rep, doc_id, 1.0 from k where rep <> doc_id""",
 )
 _add(
-    "dup_vs_benchmark", lambda s, d: dup.jaccard_pairs(dup.fingerprints(_blocks(s, d)), dup.fingerprints(_read(s, d, "benchmark").select(F.col("item_id").alias("block_id"), F.col("text").alias("content")))).select("a", "b", "shared"),
+    "dup_vs_benchmark", lambda s, d: dup.jaccard_pairs(dup.print_sets(_blocks(s, d)), dup.print_sets(_read(s, d, "benchmark").select(F.col("item_id").alias("block_id"), F.col("text").alias("content")))).select("a", "b", "shared"),
     _PRINTS + ", o as " + _prints_sql("benchmark", "item_id") + " select f.block_id a, o.block_id b, count(*) shared from f join o using (h) group by all",
 )
 
