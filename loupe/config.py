@@ -28,7 +28,7 @@ DEFAULTS: dict[str, Any] = {
     "max_file_size": 1 << 20,
     "rules": {},
     "analyzers": {
-        "security": {"enabled": True, "min_severity": None, "entropy": True, "min_entropy": 4.5, "min_string_length": 20, "skip_test_data": True,
+        "security": {"enabled": True, "min_severity": None, "all_files": False, "entropy": True, "min_entropy": 4.5, "min_string_length": 20, "skip_test_data": True,
                      "allow": ["admin@example.com", "test@example.com", "user@example.com", "555-555-5555", "123-456-7890", "000-000-0000"]},
         "circular": {"enabled": True, "include_external": False},
         "deadcode": {"enabled": True, "exclude_public_api": True, "include_tests": False, "aggressive": False, "track_attribute_names": False},
@@ -132,7 +132,7 @@ def validate(config: dict[str, Any]) -> list[str]:
             bad.append(f"{at}: no severity {s}")
     if get(config, "output.format") not in ("console", "json", "xml", "sarif", "ide", "html"):
         bad.append("output.format: unknown")
-    for at, low, high in (("analyzers.visitors.max_complexity", 1, 100), ("analyzers.duplicates.threshold", 0, 1), ("analyzers.security.min_entropy", 0, 8), ("max_file_size", 1, 1 << 40), ("analyzers.duplicates.min_lines", 1, 10_000)):
+    for at, low, high in (("analyzers.visitors.max_complexity", 1, 100), ("analyzers.duplicates.threshold", 0, 1), ("analyzers.security.min_entropy", 0, 8), ("max_file_size", 1, 1 << 40), ("global.max_findings_per_file", 1, 1 << 31), ("analyzers.duplicates.min_lines", 1, 10_000)):
         v = get(config, at)
         if not isinstance(v, int | float) or not low <= v <= high:
             bad.append(f"{at}: not from {low} to {high}")
@@ -192,6 +192,11 @@ def save(config: dict[str, Any], path: str, only_changed: bool = False) -> None:
         Path(path).write_text(json.dumps(data, indent=2, sort_keys=True), encoding="utf-8")
 
 
+def reset_to_defaults(config: dict[str, Any]) -> None:
+    config.clear()
+    config.update(copy.deepcopy(DEFAULTS))
+
+
 def add_exclude(config: dict[str, Any], pattern: str) -> None:
     if pattern not in config["exclude"]["patterns"]:
         config["exclude"]["patterns"].append(pattern)

@@ -61,11 +61,11 @@ def dead_symbols(files: DataFrame, facts: DataFrame, config: dict[str, Any]) ->
             s = s.join(lists.withColumn("in_all", F.lit(True)), ["file_path", "name"], "left").join(lists.select("file_path", F.lit(True).alias("has_all")).distinct(), "file_path", "left")
             implied = F.col("has_all").isNull() & ~F.col("is_private") & (F.col("scope") == "module") & F.col("symbol_type").isin("function", "class", "variable")
             s = s.where(F.col("in_all").isNull() & ~implied).drop("in_all", "has_all")
-    # of all uses of a name, a symbol needs only to know whether one is elsewhere
-    u = usages(facts, config.get("track_attribute_names", False)).groupBy("name").agg(F.collect_set(F.struct("file_path", "line_number")).alias("places"))
+    # a use is elsewhere if the first or the last place of the name is not the symbol's own
+    place = F.struct("file_path", "line_number")
+    u = usages(facts, config.get("track_attribute_names", False)).groupBy("name").agg(F.min(place).alias("first_use"), F.max(place).alias("last_use"))
     j = s.join(u, "name", "left")
-    elsewhere = F.exists("places", lambda p: (p["file_path"] != F.col("file_path")) | (p["line_number"] != F.col("line_number")))
-    return j.where(~F.coalesce(elsewhere, F.lit(False))).drop("places")
+    return j.where(F.col("first_use").isNull() | ((F.col("first_use") == place) & (F.col("last_use") == place))).drop("first_use", "last_use")
 
 
 def removal_suggestion() -> Column:

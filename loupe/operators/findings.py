@@ -90,10 +90,14 @@ def suppress(f: DataFrame, suppressed: DataFrame) -> DataFrame:
     return f.join(suppressed, [c for c in KEY if c in suppressed.columns], "left_anti")
 
 
-def exit_code(f: DataFrame) -> DataFrame:
-    """2 with a critical finding, 1 with a high one or more than five medium ones, else 0."""
+def exit_code(f: DataFrame, policy: str = "mixed") -> DataFrame:
+    """mixed: 2 with a critical finding, 1 with a high one or more than five medium ones, else 0. security: without regard to medium ones. simple: 1 with a high one or more than five medium ones, else 0."""
     n = lambda s: F.count_if(F.col("severity") == s)
-    return f.agg(F.when(n("Critical") > 0, 2).when((n("High") > 0) | (n("Medium") > 5), 1).otherwise(0).alias("exit_code"))
+    high, many = n("High") > 0, n("Medium") > 5
+    codes = {"mixed": F.when(n("Critical") > 0, 2).when(high | many, 1), "security": F.when(n("Critical") > 0, 2).when(high, 1), "simple": F.when(high | many, 1)}
+    if policy not in codes:
+        raise ValueError(f"no policy {policy}; there are {', '.join(codes)}")
+    return f.agg(codes[policy].otherwise(0).alias("exit_code"))
 
 
 def override_severity(f: DataFrame, by_rule: dict[str, str]) -> DataFrame:

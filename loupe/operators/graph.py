@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.model import findings
+from loupe.session import ship
+
+
+ONE_TASK = 200_000
 
 
 def module_name(path: Column, root: str = "") -> Column:
@@ -30,8 +39,8 @@ def imports(facts: DataFrame) -> DataFrame:
     return rows.select("file_path", F.col("name").alias("module_name"), a["type"].alias("import_type"), F.col("line").alias("line_number"), (a["conditional"] == "true").alias("is_conditional"), (a["type_checking"] == "true").alias("is_type_checking"), a["level"].cast("int").alias("level"))
 
 
-def edges(imports_: DataFrame, modules_: DataFrame) -> DataFrame:
-    """(src, dst, line) of imports of modules that are there, also below src; line is the first that has it. Relative names drop as many parts of the importing module as they have dots."""
+def edges(imports_: DataFrame, modules_: DataFrame, external: bool = False) -> DataFrame:
+    """(src, dst, line) of imports of modules that are there, also below src, and with external of others by their name; line is the first that has it. Relative names drop as many parts of the importing module as they have dots."""
     i = imports_.join(modules_.withColumnRenamed("module_name", "src"), "file_path")
     parts = F.split("src", r"\.")
     left = F.size(parts) - F.col("level")
@@ -40,11 +49,12 @@ def edges(imports_: DataFrame, modules_: DataFrame) -> DataFrame:
     i = i.where((F.col("level") == 0) | up.isNotNull())
     names = modules_.select(F.col("module_name").alias("dst"))
     known = names.withColumn("target", F.col("dst")).union(names.where("dst like 'src.%'").withColumn("target", F.substring("dst", F.lit(5), F.length("dst")))).distinct()
-    return i.join(known, "target").groupBy("src", "dst").agg(F.min("line_number").alias("line"))
+    i = i.join(known, "target", "left" if external else "inner").withColumn("dst", F.coalesce("dst", "target"))
+    return i.groupBy("src", "dst").agg(F.min("line_number").alias("line"))
 
 
 def reach(edges_: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(src, dst): every pair with a path, by doubling path lengths; each round is checkpointed."""
+    """(src, dst): every pair with a path, by doubling path lengths; each round is checkpointed. The result may have a row for each pair of nodes: for large graphs give only edges around what is asked for."""
     paths = _cut(edges_.select("src", "dst").distinct())
     n = paths.count()
     for _ in range(most_rounds):
@@ -52,71 +62,137 @@ def reach(edges_: DataFrame, most_rounds: int = 64) -> DataFrame:
         paths = _cut(paths.union(longer).distinct())
         m = paths.count()
         if m == n:
-            break
+            return paths
         n = m
-    return paths
+    raise RuntimeError(f"paths grow after {most_rounds} rounds")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """A checkpoint in the shared folder; a temporary one only in local mode, where there is but one machine."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loupe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loupe-"))
     return df.checkpoint()
 
 
-def scc(edges_: DataFrame, most_rounds: int = 200) -> DataFrame:
+def scc(edges_: DataFrame, most_rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): strongly connected components of two or more nodes, by the least node.
 
-    Nodes without an edge in or out are trimmed first, again and again. Then each
-    node takes the least label that reaches it (forward), and the nodes that reach
-    their label's owner within one label form its component; the rest goes on.
+    At most one_task edges, as counted, are worked on in one task by depth-first search;
+    module graphs mostly are that small. More go in rounds, and so does what is left of
+    them, until it is that small; both give the same. In a round, nodes that nothing leads to or that lead nowhere are trimmed first.
+    Then each node gets the least label that reaches it, and edges between labels, which
+    can't be in a component, go. The nodes that reach their label's owner within one
+    label form its component, of all labels at once; the rest goes on. Several steps are
+    taken between checkpoints. RuntimeError if the rounds don't suffice.
     """
+    ship(edges_.sparkSession)
     e = _cut(edges_.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
-    found = None
+    found = []
     for _ in range(most_rounds):
+        if e.count() > one_task:
+            e = _trimmed(e)
         n = e.count()
-        while True:
-            e2 = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            e2 = _cut(e2.select("src", "dst"))
-            m = e2.count()
-            e, same, n = e2, m == n, m
-            if same:
-                break
-        if not n:
+        if n <= one_task:
+            if n:
+                kind = e.schema["src"].dataType.simpleString()
+                found.append(e.repartition(1).mapInArrow(_search, f"node {kind}, component {kind}"))
             break
         nodes = e.select(F.col("src").alias("node")).distinct()
         color = _spread(nodes.withColumn("label", F.col("node")), e, "src", "dst")
         inner = e.join(color.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(color.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst").where("ls = ld")
-        inner = _cut(inner.select("src", "dst", F.col("ls").alias("label")))
-        back = color.where("node = label").select("node", "label")
-        size = back.count()
-        while True:
-            more = inner.join(back.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label")
-            back = _cut(back.union(more).distinct())
-            now = back.count()
-            if now == size:
-                break
-            size = now
-        part = back.select("node", F.col("label").alias("component"))
-        found = part if found is None else _cut(found.union(part))
-        e = _cut(e.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    if found is None:
+        inner = _cut(inner.select("src", "dst"))
+        # backwards from the owners, within one label: the greatest mark that is reached is 1
+        marks = color.select("node", (F.when(F.col("node") == F.col("label"), 0).otherwise(1)).alias("label"))
+        back = _spread(marks, inner, "dst", "src").where("label = 0").select("node")
+        part = _cut(back.join(color, "node").select("node", F.col("label").alias("component")))
+        found.append(part)
+        e = _cut(inner.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    else:
+        raise RuntimeError(f"components are left after {most_rounds} rounds")
+    if not found:
         return e.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    many = found.groupBy("component").count().where("count > 1").select("component")
-    return found.join(many, "component", "left_semi").select("node", "component")
+    all_ = reduce(DataFrame.unionByName, found)
+    many = all_.groupBy("component").count().where("count > 1").select("component")
+    return all_.join(many, "component", "left_semi").select("node", "component")
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of the edges of one task, by Tarjan's depth-first search without recursion."""
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    if not len(t):
+        return
+    nodes, inv = np.unique(np.concatenate([t["src"].to_numpy(zero_copy_only=False), t["dst"].to_numpy(zero_copy_only=False)]), return_inverse=True)
+    src, dst = inv[: len(t)], inv[len(t) :]
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    turn, low, on, lead = [-1] * len(nodes), [0] * len(nodes), [False] * len(nodes), [0] * len(nodes)
+    stack: list[int] = []
+    clock = 0
+    for root in range(len(nodes)):
+        if turn[root] >= 0:
+            continue
+        work = [(root, first[root])]
+        while work:
+            v, at = work.pop()
+            if at == first[v]:
+                turn[v] = low[v] = clock
+                clock += 1
+                stack.append(v)
+                on[v] = True
+            elif on[to[at - 1]]:
+                low[v] = min(low[v], low[to[at - 1]])
+            while at < first[v + 1]:
+                u = to[at]
+                at += 1
+                if turn[u] < 0:
+                    work += [(v, at), (u, first[u])]
+                    break
+                if on[u]:
+                    low[v] = min(low[v], turn[u])
+            else:
+                if low[v] == turn[v]:
+                    cut = stack.index(v) if len(stack) < 8 else len(stack) - 1 - stack[::-1].index(v)
+                    members = stack[cut:]
+                    del stack[cut:]
+                    for u in members:
+                        on[u], lead[u] = False, min(members)
+    names = pa.array(nodes, t["src"].type)
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(lead))], ["node", "component"])
+
+
+STEPS = 3
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing leads to or that lead nowhere, again and again."""
+    n = e.count()
+    while n:
+        for _ in range(STEPS):
+            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        e = _cut(e)
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e
 
 
 def _spread(labels: DataFrame, e: DataFrame, frm: str, to: str) -> DataFrame:
-    """Labels go along edges until each node has the least that reaches it."""
-    labels = _cut(labels)
+    """Labels go along edges until each node has the least that reaches it, STEPS edges between checkpoints."""
+    now = _cut(labels)
     while True:
-        got = e.join(labels.withColumnRenamed("node", frm), frm).groupBy(F.col(to).alias("node")).agg(F.min("label").alias("got"))
-        new = _cut(labels.join(got, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
+        new = now
+        for _ in range(STEPS):
+            got = e.join(new.withColumnRenamed("node", frm), frm).groupBy(F.col(to).alias("node")).agg(F.min("label").alias("got"))
+            new = new.join(got, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"))
+        new = _cut(new)
+        if new.join(now.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
+            return new
+        now = new
 
 
 def cycles(components: DataFrame) -> DataFrame:
@@ -126,15 +202,13 @@ def cycles(components: DataFrame) -> DataFrame:
 
 
 def circular_findings(files: DataFrame, facts: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """One finding for each module of a cycle, at the first import of the next module of the cycle, else at line 1."""
+    """One finding for each module of a cycle, at its first import of another module of the cycle, which a strongly connected component always has."""
     mods = modules(files, config.get("root", ""))
-    e = edges(imports(facts), mods)
+    e = edges(imports(facts), mods, config.get("include_external", False))
     members = cycles(scc(e)).withColumn("node", F.explode("modules"))
-    i = F.array_position("modules", F.col("node")).cast("int")
-    members = members.withColumn("target", F.get("modules", F.pmod(i, F.size("modules"))))
     members = members.join(mods.withColumnRenamed("module_name", "node"), "node")
-    at = e.select(F.col("src").alias("node"), F.col("dst").alias("target"), "line")
-    members = members.join(at, ["node", "target"], "left")
+    inside = e.join(members.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd")
+    members = members.join(inside.groupBy(F.col("src").alias("node")).agg(F.min("line").alias("line")), "node", "left")
     n = F.col("n_modules")
     chain = F.array_join(F.concat("modules", F.slice("modules", 1, 1)), " -> ")
     return findings(members, {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.text import entropy, lines, match_columns, match_places
 from loupe.model import findings, union
-from loupe.sources.files import is_python, read_errors
+from loupe.sources.files import is_python, name_of, read_errors, suffix
 
 _N = "[0-9]"
 _SEP = r"[-.\s]?"
@@ -53,6 +53,7 @@ PATTERNS = [
     Pattern("phone", "pii", r"\b(?:\+1" + _SEP + r")?\(?" + _N + r"{3}\)?" + _SEP + _N + "{3}" + _SEP + _N + r"{4}\b", "US phone number", "Medium", 200, ""),
     Pattern("ssn", "pii", "-".join([r"\b" + _N + "{3}", _N + "{2}", _N + r"{4}\b"]), "US social security number", "High", 200, "-"),
 ]
+SUFFIXES = "cfg env ini js json jsx py svelte toml ts tsx vue yaml yml".split()
 BY_NAME = {p.name: p for p in PATTERNS}
 TEST_WORDS = "demo|dummy|example|fake|fixme|mock|placeholder|sample|test|todo|xxx"
 _QUOTED = _Q + r"([^\x22\x27]{20,})" + _Q
@@ -124,6 +125,7 @@ def call_findings(facts: DataFrame) -> DataFrame:
     dynamic = facts.where("kind = 'call' and name in ('eval', 'exec') and attrs['dynamic'] = 'true'")
     loads = facts.where("kind = 'import' and attrs['type'] = 'import' and name in ('pickle', 'cPickle')")
     at = {"file_path": F.col("file_path"), "line_number": F.col("line"), "column_number": F.col("col"), "end_line": F.col("end_line"), "end_column": F.col("end_col"), "category": "security"}
+    at |= {"context": F.coalesce(F.col("attrs")["context"], F.lit("")), "code_snippet": F.coalesce(F.col("attrs")["code"], F.lit(""))}
     return union([
         findings(dynamic, at | {"rule_id": F.concat(F.lit("python-security-"), F.col("name")), "severity": "Critical", "message": F.concat("name", F.lit("() of dynamic input")), "cwe": "CWE-94"}),
         findings(loads, at | {"rule_id": "python-security-pickle-import", "severity": "Medium", "message": F.lit("pickle is unsafe on untrusted data"), "cwe": "CWE-502"}),
@@ -136,7 +138,9 @@ def syntax_findings(facts: DataFrame) -> DataFrame:
 
 
 def security_findings(files: DataFrame, facts: DataFrame | None, config: dict[str, Any]) -> DataFrame:
-    """Patterns and entropy in all files, dangerous calls and syntax errors in Python ones, files that can't be read."""
+    """Patterns and entropy in files of the kinds that hold code or settings (all_files: in all), dangerous calls and syntax errors in Python ones, files that can't be read."""
+    if not config.get("all_files", False):
+        files = files.where(suffix("file_path").isin(SUFFIXES) | (name_of("file_path") == ".env"))
     parts = [pattern_findings(files, config), read_errors(files)]
     if config.get("entropy", True):
         parts.append(entropy_findings(files, config))

@@ -14,10 +14,11 @@ from loupe.sources.files import suffix
 SNAKE = "^[a-z_][a-z0-9_]*$"
 PASCAL = "^[A-Z][a-zA-Z0-9]*$"
 _AT = {"file_path": "file_path", "line_number": "line", "column_number": "col", "end_line": "end_line", "end_column": "end_col"}
+_TEXT = {"context": "context", "code_snippet": "code"}
 
 
 def _at() -> dict[str, Column]:
-    return {k: F.col(v) for k, v in _AT.items()}
+    return {k: F.col(v) for k, v in _AT.items()} | {k: F.coalesce(F.col("attrs")[v], F.lit("")) for k, v in _TEXT.items()}
 
 
 def _num(key: str) -> Column:

@@ -7,6 +7,7 @@ analyzer name, and further ones can be added.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 from typing import Any
 
 from pyspark import StorageLevel
@@ -47,12 +48,15 @@ def analyze(
     min_severity: str | None = None, categories: str | list[str] | None = None, max_findings: int | None = None, config: dict[str, Any] | None = None, profile: str | None = None,
     root: str = "",
 ) -> DataFrame:
-    """Findings of the files of a path, or of a files table. Facts are parsed once and kept in memory or on disk while several analyzers read them."""
+    """Findings of the files of a path, or of a files table. Facts are parsed once and kept in memory or on disk while several analyzers read them; see released. ValueError says what is wrong with the configuration."""
     c = config or cfg.load(profile=profile)
+    if wrong := cfg.validate(c):
+        raise ValueError("; ".join(wrong))
     files = source if isinstance(source, DataFrame) else src.scan(spark, source, c)
     names = [n for n in cfg.select(analyzers, exclude, security_only) if cfg.analyzer_on(c, n)]
     names += [n for n in ANALYZERS if n not in cfg.ANALYZERS and (not analyzers or n in analyzers)]
     facts = parse(files, cfg.get(c, "analyzers.duplicates.min_lines", 6)).persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(facts)
     parts = []
     for n in names:
         section = dict(c["analyzers"].get(n, {}))
@@ -67,12 +71,25 @@ def analyze(
     return ops.first(out, max_findings) if max_findings else out
 
 
-def run(spark: SparkSession, source: str | list[str] | DataFrame, fmt: str = "console", output: str | None = None, **options: Any) -> tuple[str, int]:
-    """The report's text, also written to output, and the exit code."""
-    f = analyze(spark, source, **options).persist(StorageLevel.MEMORY_AND_DISK)
-    text = reports.render(f, fmt)
+_kept: list[DataFrame] = []
+
+
+def released() -> None:
+    """Lets go of the facts that analyze has kept; findings that are read later parse anew."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
+def run(spark: SparkSession, source: str | list[str] | DataFrame, fmt: str | None = None, output: str | None = None, policy: str = "mixed", config: dict[str, Any] | None = None, profile: str | None = None, **options: Any) -> tuple[str, int]:
+    """The report's text, also written to output, and the exit code by the policy of that name. Format, colours and findings shown of each file are the configuration's, unless fmt is given."""
+    c = config or cfg.load(profile=profile)
+    f = analyze(spark, source, config=c, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    fmt = fmt or c["output"]["format"]
+    shown = {"colors": c["output"]["colors"] and not output, "per_file": c["global"]["max_findings_per_file"]} if fmt == "console" else {}
+    text = reports.render(f, fmt, **shown)
     if output:
-        reports.save(f, fmt, output)
-    code = ops.exit_code(f).first()["exit_code"]
+        Path(output).write_text(text, encoding="utf-8")
+    code = ops.exit_code(f, policy).first()["exit_code"]
     f.unpersist()
+    released()
     return text, code

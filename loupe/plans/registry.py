@@ -18,7 +18,7 @@ from loupe.operators import duplicates as dup
 from loupe.operators import findings as ops
 from loupe.operators import graph
 from loupe.operators import security as sec
-from loupe.plans import fixture
+from loupe.plans import fixture, rules
 from loupe.sources import files as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,8 +157,8 @@ _add(
     "select coalesce(lang, 'unknown') as language, count(*) n_files, sum(strlen(text))::bigint n_bytes from documents group by coalesce(lang, 'unknown') union all select null, count(*), sum(strlen(text))::bigint from documents",
 )
 _add(
-    "files_by_language", lambda s, d: src.by_language(src.from_documents(_read(s, d, "documents"))).select("language", F.size("file_paths").alias("n"), F.get("file_paths", F.lit(0)).alias("least")),
-    "select coalesce(lang, 'unknown') as language, count(*)::int n, min(concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt')) least from documents group by all",
+    "files_by_language", lambda s, d: src.by_language(src.from_documents(_read(s, d, "documents"))),
+    "select coalesce(lang, 'unknown') as language, concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt') file_path from documents",
 )
 _add(
     "lines_explode", lambda s, d: lines(_read(s, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest")),
@@ -259,3 +259,4 @@ _add(
 _add("severity_ranks", lambda s, d: s.createDataFrame([(x,) for x in ("Info", "low", "MEDIUM", "High", "critical", "odd")], "severity string").select("severity", rank("severity").alias("r")), "select unnest(['Info', 'low', 'MEDIUM', 'High', 'critical', 'odd']) severity, unnest([0, 1, 2, 3, 4, 0]) r")
 
 fixture.register(_add, findings)
+rules.register(_add)

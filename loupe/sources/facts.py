@@ -109,6 +109,9 @@ class _Facts:
 
     def add(self, kind: str, node: ast.AST | None = None, name: str = "", value: str | None = None, items: list[str] | None = None, line: int | None = None, **attrs: object) -> None:
         at = self.scope[-1] if self.scope else ("module", "")
+        if isinstance(node, ast.stmt | ast.Call):  # what findings show; of a definition only its first line
+            attrs["context"] = self.lines[node.lineno - 1].rstrip()
+            attrs["code"] = attrs["context"].strip() if isinstance(node, (*_DEFS, ast.ClassDef)) else ast.unparse(node)
         text = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in attrs.items() if v is not None}
         self.rows.append((self.path, kind, name, line or getattr(node, "lineno", 1), getattr(node, "col_offset", 0), getattr(node, "end_lineno", 0) or 0, getattr(node, "end_col_offset", 0) or 0, at[0], at[1], value, items or [], text))
 
@@ -223,7 +226,7 @@ def rows_of(path: str, source: str, min_lines: int = 6) -> list[tuple]:
         f.walk(tree)
         return f.rows
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [(path, "parse_error", type(e).__name__, getattr(e, "lineno", None) or 1, 0, 0, 0, "module", "", str(getattr(e, "msg", e))[:200], [], {})]
+        return [(path, "parse_error", type(e).__name__, getattr(e, "lineno", None) or 1, 0, 0, 0, "module", "", str(getattr(e, "msg", e)), [], {})]
 
 
 def facts(files: DataFrame, min_lines: int = 6) -> DataFrame:

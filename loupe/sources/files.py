@@ -8,6 +8,7 @@ content is decoded only for files that stay.
 from __future__ import annotations
 
 import fnmatch
+import warnings
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,18 +124,62 @@ def described(files: DataFrame) -> DataFrame:
     return files.withColumns({"ext": suffix("file_path"), "language": language_of("file_path"), "category": category_of("file_path")})
 
 
+def analysed(path: Column | str, size: Column, config: dict[str, Any]) -> Column:
+    """Whether no skip_reason holds, as conjuncts of their own: those on the size and the path reach the source before content is read."""
+    p = F.col(path) if isinstance(path, str) else path
+    ex = config["exclude"]
+    out = (size <= config["max_file_size"]) & ~name_of(p).startswith(".")
+    if ex["dirs"]:
+        out = out & ~p.rlike("(^|/)(?:" + "|".join(_quoted(d) for d in ex["dirs"]) + ")/")
+    for x in [*ex["files"], *ex["patterns"]]:
+        out = out & ~glob(p, x)
+    return out & language_of(p).isNotNull()
+
+
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
+
+
+def existing(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths that are there; others are told by a warning. ValueError if none is: there is nothing to analyse."""
+    out = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.globStatus(at):
+            out.append(p)
+        else:
+            warnings.warn(f"no such path: {p}", stacklevel=3)
+    if not out:
+        raise ValueError(f"no such path: {paths}")
+    return out
+
+
 def scan(spark: SparkSession, paths: str | list[str], config: dict[str, Any] | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
-    """The files below paths, without excluded ones if there is a config; malformed UTF-8 is replaced, unreadable content is null."""
+    """The files below paths (folders or files), without excluded ones if there is a config.
+
+    Malformed UTF-8 is left out of the content, unreadable content is null. Missing paths
+    are told by a warning and the others are read; ValueError if none is there.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    raw = r.load(paths).withColumn("file_path", F.regexp_replace("path", "^file:/+", "/"))
+    raw = r.load(existing(spark, paths))
+    if config:
+        raw = raw.where(F.col("length") <= config["max_file_size"])  # alone, so that the source takes it
+    raw = raw.withColumn("file_path", F.regexp_replace("path", "^file:/+", "/"))
     if config:
-        raw = raw.where(skip_reason("file_path", F.col("length"), config).isNull())
-    out = described(raw.select("file_path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes")))
+        raw = raw.where(analysed("file_path", F.col("length"), config))
+    out = described(raw.select("file_path", text_of("content").alias("content"), F.col("length").alias("size_bytes")))
     return out.orderBy("file_path").limit(limit) if limit else out
 
 
+def text_of(content: Column | str) -> Column:
+    """Bytes as UTF-8 text, without those that are malformed; those that stand for the replacement character itself go with them."""
+    c = F.col(content) if isinstance(content, str) else content
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit("")))
+
+
 def from_rows(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFrame:
     """For tests and editors: files given as (path, content)."""
     return described(spark.createDataFrame([(p, c, len((c or "").encode())) for p, c in rows], SCHEMA))
@@ -154,7 +199,13 @@ def read_errors(files: DataFrame) -> DataFrame:
 
 
 def by_language(files: DataFrame) -> DataFrame:
-    return files.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.array_sort(F.collect_list("file_path")).alias("file_paths"))
+    """(language, file_path), sorted: a row a file, so that no language has to fit a row."""
+    return files.select(F.coalesce("language", F.lit("unknown")).alias("language"), "file_path").orderBy("language", "file_path")
+
+
+def scan_statistics(files: DataFrame) -> DataFrame:
+    """(n_files, n_bytes, n_languages, n_unreadable) of a scan."""
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"), F.countDistinct("language").alias("n_languages"), F.count_if(F.col("content").isNull()).alias("n_unreadable"))
 
 
 def project_info(files: DataFrame) -> DataFrame:

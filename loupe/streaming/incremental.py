@@ -33,10 +33,16 @@ def stateless_findings(files: DataFrame, config: dict[str, Any]) -> DataFrame:
 
 
 def analyse_stream(files: DataFrame, checkpoint: str, rule: Callable[[DataFrame], DataFrame], target: str) -> StreamingQuery:
-    """Each batch's findings, once by key, as Parquet below target; a batch that is run again replaces its own folder."""
+    """Each batch's findings, once by key over all batches, as Parquet below target; a batch that is run again replaces its own folder and sees only those before it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rule(batch).dropDuplicates(KEY).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        found = rule(batch).dropDuplicates(KEY)
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            before = spark.read.schema(f"{found.select(*KEY)._jdf.schema().toDDL()}, batch long").parquet(target).where(F.col("batch") < number)
+            found = found.join(before.select(*KEY), KEY, "left_anti")
+        found.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
