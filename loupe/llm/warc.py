@@ -80,6 +80,13 @@ def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes,
         raise ValueError("no end of header")
     if _VERSION_LINE.search(data, m.end() - 2, end + 2):  # the header is cut, and another record begins
         raise ValueError("bad header line")
+    if inner := _VERSION.search(data, m.end(), end + 2):  # also where it is cut within a line, if a whole record follows
+        try:
+            _parse(data, inner.start())
+        except ValueError:
+            pass
+        else:
+            raise ValueError("bad header line")
     fields = {}
     for line in data[m.end() : end].split(b"\r\n"):
         k, sep, v = line.partition(b":")
