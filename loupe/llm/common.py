@@ -48,13 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """df, written once as a table in the shared folder and read back: its lineage ends there."""
+    """df, written once as a table in the shared folder and read back: its lineage ends there. The application's tables go when its JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loupe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/loupe-{spark.sparkContext.applicationId}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if root not in _to_go:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _to_go.add(root)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_to_go: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the files go when df is no longer used, if Spark is told to clean them."""
     shared_folder(df.sparkSession)

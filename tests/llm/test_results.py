@@ -228,6 +228,33 @@ def test_mixture_keeps_to_its_budget(docs):
     assert (used > share - biggest - share * 0.2).all()
 
 
+def test_vector_groups_equal_all_pairs(spark):
+    """Pairs just above and just below the cosine, chains of them, and a third of all rows in one group of copies."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def at(a: np.ndarray, cosine: float) -> np.ndarray:
+        z = rng.normal(size=a.shape)
+        z -= (z @ a) * a
+        return cosine * a + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z)
+
+    near = [at(a, c) for c in (0.951, 0.96, 0.99) for a in x[:150]]
+    far = [at(a, 0.949) for a in x[150:300]]
+    chain = [x[300]]
+    for _ in range(20):
+        chain.append(at(chain[-1], 0.97))
+    rows = np.array([*x, *near, *far, *chain, *[x[400]] * 700]).astype(np.float32)
+    order = rng.permutation(len(rows))
+    rows = rows[order]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    u = rows.astype(np.float64) / np.linalg.norm(rows, axis=1, keepdims=True)
+    lead = vectors._adjacent_groups(u @ u.T >= 0.95)
+    got = {r["vec_id"]: (r["rep_id"], r["kept"]) for r in vectors.near_duplicate_vectors(t).collect()}
+    assert got == {i: (int(r), int(r) == i) for i, r in enumerate(lead)}
+    assert len(set(lead)) < len(rows) - 1100
+
+
 def test_recall_of_learned_partitions(spark):
     rng = np.random.default_rng(4)
     n, parts = 6000, 40
