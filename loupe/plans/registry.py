@@ -19,7 +19,10 @@ from loupe.operators import findings as ops
 from loupe.operators import graph
 from loupe.operators import security as sec
 from loupe.plans import fixture, rules
+from loupe.plans.analyze import analyze
+from loupe.sinks import reports
 from loupe.sources import files as src
+from loupe.streaming.incremental import rolling_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,9 +65,9 @@ _LINES = _FILES + ", l as (select file_path, unnest(string_split(content, chr(10
 _ALLOWED = ", ".join(f"'{x}'" for x in _SECURITY["allow"])
 
 
-def _match_sql(p: sec.Pattern) -> str:
+def _match_sql(p: sec.Pattern, place: bool = False) -> str:
     allow = f"where text not in ({_ALLOWED})" if p.group == "pii" else ""
-    return f"select file_path, line_number::int line_number, text from (select file_path, line_number, unnest(regexp_extract_all(line, '{p.regex}', 0, 'i')) text from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')) {allow}"
+    return f"select file_path, line_number::int line_number, text{', strpos(line, text)::int column_number' if place else ''} from (select file_path, line_number, line, unnest(regexp_extract_all(line, '{p.regex}', 0, 'i')) text from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')) {allow}"
 
 
 for _p in sec.PATTERNS:
@@ -91,16 +94,35 @@ def _pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FINDINGS = f"with {_LINES}, x as (" + " union all ".join(
-    f"select file_path, line_number, text, 'security-pattern-cwe-{p.cwe}' rule_id, '{p.severity}' severity, 'security' category, '{p.message}' message, false fixable from ({_match_sql(p)})" for p in sec.PATTERNS
+    f"select file_path, line_number, text, column_number, 'security-pattern-cwe-{p.cwe}' rule_id, '{p.severity}' severity, 'security' category, '{p.message}' message, false fixable from ({_match_sql(p, True)})" for p in sec.PATTERNS
 ) + "), g as (select *, case severity when 'Critical' then 4 when 'High' then 3 when 'Medium' then 2 when 'Low' then 1 else 0 end r from x)"
 
-_add("security_findings", lambda s, d: _pattern_findings(s, d).select("file_path", "line_number", "rule_id", "severity", "message"), _FINDINGS + " select file_path, line_number, rule_id, severity, message from g")
+_add("security_findings", lambda s, d: _pattern_findings(s, d).select("file_path", "line_number", "column_number", "rule_id", "severity", "message"), _FINDINGS + " select file_path, line_number, column_number, rule_id, severity, message from g")
 _add("security_rollup", lambda s, d: _pattern_findings(s, d).groupBy("severity", "rule_id").agg(F.count("*").alias("n")), _FINDINGS + " select severity, rule_id, count(*) n from g group by all")
 _add(
     "security_redaction_counts", lambda s, d: sec.redaction_counts(_files(s, d), _SECURITY),
     f"with {_LINES}, x as (" + " union all ".join(f"select '{p.group}' pattern_group, '{p.name}' pattern_name, sum(len(regexp_extract_all(line, '{p.regex}', 0, 'i'))) n from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')" for p in sec.PATTERNS) + ") select pattern_group, pattern_name, n::bigint n from x where n > 0",
 )
 
+_PLAIN = _LINES.replace(_FILES, "f as (select concat(coalesce(source, 'none'), '/', cast(doc_id as varchar), '.txt') file_path, text content from documents)")
+_ENTROPY = rf"""c as (select file_path, line, unnest(list_concat(regexp_extract_all(line, '{sec._QUOTED}', 1), regexp_extract_all(line, '{sec._ASSIGNED}', 1))) text from l where not regexp_matches(lower(line), '{sec.TEST_WORDS}')),
+    kk as (select *, row_number() over () i from c where length(text) >= 20 and not regexp_matches(lower(text), '{sec._HARMLESS}')),
+    ch as (select i, unnest(string_split(text, '')) ch, length(text) n from kk), pp as (select i, ch, count(*)::double / any_value(n) p from ch group by i, ch),
+    e as (select i, -sum(p * log2(p)) entropy from pp group by i)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis of all documents as files, as they are; those rules find something that don't need code."""
+    config = cfg.load(analyzers__security__all_files=True)
+    return analyze(spark, src.from_documents(_read(spark, sf_dir, "documents")), config=config, analyzers=["security", "visitors", "docs"])
+
+
+_add(
+    "analyze_documents", lambda s, d: _documents(s, d).groupBy("rule_id", "severity").agg(F.count("*").alias("n")),
+    f"with {_PLAIN}, {_ENTROPY}, x as (" + " union all ".join(f"select 'security-pattern-cwe-{p.cwe}' rule_id, '{p.severity}' severity from ({_match_sql(p)})" for p in sec.PATTERNS)
+    + " union all select 'security-entropy-high', case when entropy < 5 then 'Medium' else 'High' end from e where entropy >= 4.5 union all select 'file-read-error', 'Low' from f where content is null) select rule_id, severity, count(*) n from x group by all",
+)
+
 # -- operators over findings -------------------------------------------------------------------------------------------
 
 _add("findings_by_severity", lambda s, d: ops.where(_pattern_findings(s, d), severity="High").select("file_path", "line_number", "rule_id"), _FINDINGS + " select file_path, line_number, rule_id from g where severity = 'High'")
@@ -129,6 +151,35 @@ _add(
     _FINDINGS + " select file_path from g where severity = 'High' union select file_path from g where severity = 'Medium'",
 )
 
+_add(
+    "findings_first", lambda s, d: ops.first(_pattern_findings(s, d), 100).select("file_path", "line_number", "column_number", "rule_id", "message"),
+    _FINDINGS + " select file_path, line_number, column_number, rule_id, message from g order by all limit 100",
+)
+_add(
+    "findings_rules", lambda s, d: ops.rules(_pattern_findings(s, d)).select("rule_id", "file_path", "line_number", "column_number"),
+    _FINDINGS + " select rule_id, file_path, line_number, column_number from (select *, row_number() over (partition by rule_id order by file_path, line_number, column_number, message) k from g) where k = 1",
+)
+_add(
+    "findings_override", lambda s, d: ops.override_severity(_pattern_findings(s, d), {"security-pattern-cwe-200": "Low", "none": "High"}).groupBy("severity").agg(F.count("*").alias("n")),
+    _FINDINGS + " select case when rule_id = 'security-pattern-cwe-200' then 'Low' else severity end severity, count(*) n from g group by 1",
+)
+_add(
+    "findings_by_category", lambda s, d: ops.where(_pattern_findings(s, d), categories="security, style", category="security").groupBy("category").agg(F.count("*").alias("n")),
+    _FINDINGS + " select category, count(*) n from g where category in ('security', 'style') group by all",
+)
+_add(
+    "findings_editor_rows", lambda s, d: reports.editor_rows(_pattern_findings(s, d)).select("file", "line", F.col("column").alias("col"), "severity", "rule_id"),
+    _FINDINGS + " select file_path as file, line_number line, column_number col, lower(severity) severity, rule_id from g",
+)
+_add(
+    "findings_editor_levels", lambda s, d: _pattern_findings(s, d).groupBy(ops.editor_level().alias("level")).agg(F.count("*").alias("n")),
+    _FINDINGS + " select case severity when 'High' then 'Error' when 'Low' then 'Information' when 'Info' then 'Information' else 'Warning' end as \"level\", count(*) n from g group by 1",
+)
+_add(
+    "findings_exit_code_simple", lambda s, d: ops.exit_code(_pattern_findings(s, d), "simple"),
+    _FINDINGS + " select (max(r) >= 3 or count(*) filter (where r = 2) > 5)::int exit_code from g where r < 4",
+)
+
 # -- files and lines ---------------------------------------------------------------------------------------------------
 
 _PATHS = ["src/app.py", "src/a.socket.py", "lib/types.d.ts", "web/x.TSX", "Dockerfile", "docs/README.md", "conf/.env", "conf/app.toml", "k8s/deploy.yaml", "bin/run.sh", "img/logo.PNG", "node_modules/x/index.js", "build/out.min.js", "api_token.txt", "a/b/c/d.rs", "x.unknown", "noext", ".hidden.py", "deep/venv/lib/z.py"]
@@ -256,6 +307,10 @@ _add(
     "events_first_per_key", lambda s, d: _read(s, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).where("rn = 1").select("user_id", "event_type", "event_id"),
     "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) rn from events) where rn = 1",
 )
+_add(
+    "events_windows", lambda s, d: rolling_counts(_read(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n"),
+    "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) n from events group by all",
+)
 _add("severity_ranks", lambda s, d: s.createDataFrame([(x,) for x in ("Info", "low", "MEDIUM", "High", "critical", "odd")], "severity string").select("severity", rank("severity").alias("r")), "select unnest(['Info', 'low', 'MEDIUM', 'High', 'critical', 'odd']) severity, unnest([0, 1, 2, 3, 4, 0]) r")
 
 fixture.register(_add, findings)
