@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from loupe.llm.common import components, materialize, read, small_batches, unused
 
 BLOCK_ROWS = 2048
+BLOCK_ROUTED = 32768
 _VEC = "id long, v array<float>"
 
 
@@ -283,32 +286,34 @@ def _best(t: pa.Table, q: np.ndarray, qid: np.ndarray, k: int, part: int | None
 @dataclass
 class PartitionIndex:
     router: Router
-    parts: int
-    probes: int
+    parts: int  # of both levels
+    probes: tuple[int, int]  # partitions of the first level a query is sent to, and of each of them at the second
     recall: float  # as measured on test_rows rows that the router was not trained on
     base: DataFrame  # part, id, v
+    routers: DataFrame | None = None  # part, router: of the second level
+    below: int = 1  # partitions of the second level in one of the first
 
 
 def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_rows: int = 2048, most_parts: int = 1024, target: float = 0.95, test_rows: int = 512) -> PartitionIndex:
     """An index over all of vecs, of about part_rows rows a partition.
 
     Graph and router are learned from a sample of sample_rows rows, chosen by hash,
-    which the driver holds. So there are at most most_parts partitions (eight rows of
-    the sample each); beyond that they grow with the table, and are searched in blocks.
-    The number of probes is the least with which the neighbours of test_rows further
-    rows, by brute force over all, reach the target recall. A table of at most
-    part_rows rows has one partition and is exact.
+    which the driver holds, for at most most_parts partitions (eight rows of the sample
+    each). If more are needed, each of these is divided in the same way once more, by a
+    router that a task learns from sample_rows rows of it: up to most_parts squared in
+    all, two thousand million rows as the numbers are; beyond that partitions grow, and
+    are searched in blocks. The numbers of probes are the least with which the neighbours
+    of test_rows further rows, by brute force over all, reach the target recall. A table
+    of at most part_rows rows has one partition and is exact.
     """
-    m = max(1, min(-(-n // part_rows), most_parts))
+    want = max(1, -(-n // part_rows))
+    m, below = min(want, most_parts), min(-(-want // most_parts), most_parts)
     sample_rows = min(sample_rows, n)
     ids, x = _first_by_hash(vecs, sample_rows + test_rows)
     qid, q, x = ids[sample_rows:], x[sample_rows:], x[:sample_rows]
     if not len(q):  # all rows are in the sample
         qid, q = ids[:test_rows], x[:test_rows]
-    router = _one_partition(x.shape[1])
-    if m > 1:
-        graph = neighbour_graph(x, 10)
-        router = train_router(x, graph, partition_graph(x, graph, m), m)
+    router = _fit_router(x, m)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,15 +322,69 @@ def build_index(vecs: DataFrame, n: int, k: int, sample_rows: int = 8192, part_r
 
     base = materialize(vecs.mapInArrow(assign, f"part int, {_VEC}"), "base")
     if m == 1:
-        return PartitionIndex(router, 1, 1, 1.0, base)
+        return PartitionIndex(router, 1, (1, 1), 1.0, base)
+    routers = None
+    if below > 1:
+        routers = materialize(_second_level(base, below, sample_rows), "routers")
+        base = materialize(_divide(base, routers, below, 1, n // m).select("part", "id", "v"), "base")
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-    true = brute_force(base, qid, q, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "part").collect()
+    true = brute_force(base, qid, q, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "part").toPandas()
     turn = np.argsort(np.argsort(-(router.logits(q) + router.offset), axis=1, kind="stable"), axis=1, kind="stable")
-    at = {int(x): i for i, x in enumerate(qid)}
-    ranks = np.array([turn[at[r["q"]], r["part"]] for r in true])
-    got = np.array([(ranks < t).mean() for t in range(1, m + 1)])
-    probes = int(np.argmax(got >= target)) + 1
-    return PartitionIndex(router, m, probes, float(got[probes - 1]), base)
+    row = pd.Series(np.arange(len(qid)), qid)[true["q"]].to_numpy()
+    first = turn[row, true["part"] // below]
+    second = np.zeros(len(true), np.int64)
+    if routers is not None:
+        asked = pd.DataFrame({"part": true["part"] // below, "id": true["q"]}).drop_duplicates()
+        asked["v"] = [q[i].tolist() for i in pd.Series(np.arange(len(qid)), qid)[asked["id"]]]
+        turns = _divide(vecs.sparkSession.createDataFrame(asked, f"part int, {_VEC}"), routers, below, below, len(asked)).select(F.col("id").alias("q"), "part", "turn").toPandas()
+        second = true.merge(turns.drop_duplicates(["q", "part"]), "left", ["q", "part"])["turn"].to_numpy()
+    # the first level may lose half of what is lost in all
+    least = target if routers is None else (1 + target) / 2
+    p1 = next(p for p in range(1, m + 1) if (first < p).mean() >= least)
+    got = [((first < p1) & (second < p)).mean() for p in range(1, below + 1)]
+    p2 = next((p for p, r in enumerate(got, 1) if r >= target), below)
+    return PartitionIndex(router, m * below, (p1, p2), float(got[p2 - 1]), base, routers, below)
+
+
+def _fit_router(x: np.ndarray, m: int) -> Router:
+    if m <= 1 or len(x) < 2:
+        return _one_partition(x.shape[1])
+    graph = neighbour_graph(x, 10)
+    return train_router(x, graph, partition_graph(x, graph, m), m)
+
+
+def _second_level(base: DataFrame, below: int, sample_rows: int) -> DataFrame:
+    """(part, router) for each partition of base, learned from sample_rows rows of it by hash."""
+    w = Window.partitionBy("part").orderBy(F.xxhash64("id"), "id")
+    drawn = base.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= sample_rows).drop("turn")
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = _matrix(t["v"])
+        return pa.table({"part": t["part"][:1].combine_chunks(), "router": pa.array([pickle.dumps(_fit_router(x, min(below, len(x))))], pa.binary())})
+
+    return drawn.groupBy("part").applyInArrow(fit, "part int, router binary")
+
+
+def _divide(rows: DataFrame, routers: DataFrame, below: int, top: int, part_rows: int) -> DataFrame:
+    """(part, id, v, turn): rows (part, id, v) in the top best partitions of the second level, turn from 0 the best first. Blocks of rows meet their router, so that a large partition is no large task."""
+    blocks = max(1, -(-part_rows // BLOCK_ROUTED))
+    left = rows.select("part", "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    right = routers.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def go(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            a = a.slice(0, 0)
+            return pa.table({"part": a["part"], "id": a["id"], "v": a["v"], "turn": pa.array([], pa.int32())})
+        r = pickle.loads(b["router"][0].as_py())
+        z = r.logits(_matrix(a["v"])) + r.offset
+        best = np.argsort(-z, axis=1, kind="stable")[:, :top]
+        take = pa.array(np.repeat(np.arange(len(z)), best.shape[1]))
+        part = a["part"][0].as_py() * below + best.ravel()
+        turn = np.tile(np.arange(best.shape[1]), len(z))
+        return pa.table({"part": pa.array(part, pa.int32()), "id": a["id"].take(take), "v": a["v"].take(take), "turn": pa.array(turn, pa.int32())})
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(go, f"part int, {_VEC}, turn int")
 
 
 def _one_partition(d: int) -> Router:
@@ -347,9 +406,9 @@ def brute_force(base: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> Data
 
 def search(index: PartitionIndex, queries: DataFrame, n_queries: int, n_base: int, k: int) -> DataFrame:
     """(q, rank, id, cosine): for every row of queries (id, v) its k best of the index, reranked by their cosine, without itself."""
-    router, probes = index.router, index.probes
-    blocks: Callable[[int], int] = lambda n: max(1, -(-n // index.parts // 32768))
-    qb, bb = blocks(n_queries * probes), blocks(n_base)
+    router, (probes, second) = index.router, index.probes
+    blocks: Callable[[int], int] = lambda n: max(1, -(-n // index.parts // BLOCK_ROUTED))
+    qb, bb = blocks(n_queries * probes * second), blocks(n_base)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,9 +419,12 @@ def search(index: PartitionIndex, queries: DataFrame, n_queries: int, n_base: in
             take = pa.array(np.repeat(np.arange(len(z)), top.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(top.ravel(), pa.int32()), b.column(0).take(take), b.column(1).take(take)], ["part", "id", "v"])
 
+    sent = queries.select("id", "v").mapInArrow(route, f"part int, {_VEC}")
+    if index.routers is not None:
+        sent = _divide(sent, index.routers, index.below, second, n_queries * probes // max(1, index.parts // index.below)).drop("turn")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     one = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select("id", "v").mapInArrow(route, f"part int, {_VEC}").withColumn("qb", one(qb)).withColumn("bb", every(bb))
+    left = sent.withColumn("qb", one(qb)).withColumn("bb", every(bb))
     right = index.base.withColumn("bb", one(bb)).withColumn("qb", every(qb))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:

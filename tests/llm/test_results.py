@@ -255,16 +255,19 @@ def test_vector_groups_equal_all_pairs(spark):
     assert len(set(lead)) < len(rows) - 1100
 
 
-def test_recall_of_learned_partitions(spark):
+@pytest.mark.parametrize("most_parts", [1024, 7])
+def test_recall_of_learned_partitions(spark, most_parts):
+    """With one level and with two."""
     rng = np.random.default_rng(4)
     n, parts = 6000, 40
     x = rng.normal(size=(n, 16)) * 0.5 + rng.normal(size=(60, 16))[rng.integers(0, 60, n)] * 2
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     t = vectors.materialize(vectors.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")))
-    index = vectors.build_index(t, n, 10, sample_rows=2000, part_rows=n // parts)
-    assert index.parts == parts and index.probes <= parts // 3  # where vectors have groups at all
+    index = vectors.build_index(t, n, 10, sample_rows=2000, part_rows=n // parts, most_parts=most_parts)
+    assert index.parts >= parts and (index.below > 1) == (most_parts < parts)
+    assert index.probes[0] * index.probes[1] <= index.parts // 2 and index.recall >= 0.9  # where vectors have groups at all
     sizes = [r["count"] for r in index.base.groupBy("part").count().collect()]
-    assert sum(sizes) == n and max(sizes) < 3 * n // parts
+    assert sum(sizes) == n and max(sizes) < 4 * n // parts
     s = x @ x.T
     np.fill_diagonal(s, -2)
     want = np.argsort(-s, axis=1)[:, :10]
