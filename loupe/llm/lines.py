@@ -277,7 +277,7 @@ def _second() -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> tuple[DataFrame, LineIndex]:
-    """All of docs through a new index in two batches: (docs without repeated lines and with n_lines and n_dropped, the index). See LineIndex.clean. An empty table gives an empty one."""
+    """All of docs through a new index in two batches: (docs without repeated lines and with n_lines and n_dropped, the index). See LineIndex.clean. A doc_id that is no number raises; an empty table gives an empty one."""
     second = _second()
     index = LineIndex().insert(docs.where(~second)).insert(docs.where(second))
     return index.clean(docs), index

@@ -199,7 +199,7 @@ def _features_udf(text: pa.Array) -> pa.Array:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 8000) -> Gam:
-    """Trains on at most about max_train_rows labelled documents; labels: doc_id, quality (0 or 1)."""
+    """Trains on at most about max_train_rows labelled documents; labels: doc_id, quality (0 or 1). Other values, and rows without doc_id, don't count; of labels that repeat the greater counts; none, or of one value, give a constant model."""
     return fit(*training_rows(docs, labels, max_train_rows))
 
 
@@ -221,7 +221,7 @@ def score_quality(docs: DataFrame, model: Gam, column: str = "quality_score") ->
 
 
 def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is threshold or more, with the columns they had. A blank document has nothing to reject and scores as the model says."""
+    """The documents whose score is threshold or more, with the columns they had. A blank document has nothing to reject and scores as the model says; ties of the score go or stay together; an empty table gives an empty one."""
     name = unused(docs, "quality_score")
     return score_quality(docs, model, name).where(F.col(name) >= threshold).drop(name)
 

@@ -34,7 +34,7 @@ from loupe.llm.common import read, small_batches, unused
 
 MODEL = os.environ.get("LOUPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")  # a file that every executor has
 _SPACE, _NEWLINE = 0x20, 0x0A
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 1 << 18
 DECODE_IDS = 1 << 20
 
 

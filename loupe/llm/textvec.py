@@ -6,23 +6,25 @@ per-document counts are whole-array operations and no Python string is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 3 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pow: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("p", ())) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = ((n >> 17) + 1) << 17
         for name, base in (("p", _P), ("i", _PINV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -127,7 +129,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterator[Texts]:
-    """The column in runs of whole texts of about most bytes; a longer text stands alone. Nulls are empty."""
+    """The column in runs of whole texts of about most bytes; a longer text stands alone. Nulls are empty. Afterwards memory goes back to the system: workers that wait for their next task stand beside the JVM in an executor."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         a = chunk.cast(pa.large_string())
         if a.null_count:
@@ -143,6 +145,14 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Itera
             j = min(j, len(a))
             yield Texts(raw[off[i] : off[j]], off[i:j] - off[i], off[i + 1 : j + 1] - off[i])
             i = j
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, where it is glibc that keeps it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def of(texts: list[str | None]) -> Texts:
