@@ -82,7 +82,7 @@ def test_reach_of_names_of_no_edges_and_in_rounds(spark):
     assert graph.reach(e.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("ring", [1000])
+@pytest.mark.parametrize("ring", [2, 1000])
 def test_components_of_a_long_chain_without_rounds(spark, one_cut, ring):
     e = spark.range(250_000).selectExpr("id + 7 as src", "id + 8 as dst").unionAll(spark.sql(f"select 250000L, 250000L - {ring} + 1"))
     got = graph.cycles(graph.scc(e)).collect()
