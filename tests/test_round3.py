@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import duckdb
 import pytest
 
 from loupe import config as cfg
-from loupe.operators import graph, security
+from loupe.operators import duplicates, graph, security
 from loupe.plans import registry
 from loupe.sources.files import from_rows
 
@@ -87,3 +89,23 @@ def test_components_of_a_long_chain_without_rounds(spark, one_cut, ring):
     e = spark.range(250_000).selectExpr("id + 7 as src", "id + 8 as dst").unionAll(spark.sql(f"select 250000L, 250000L - {ring} + 1"))
     got = graph.cycles(graph.scc(e)).collect()
     assert [(r["component"], r["n_modules"], r["severity"]) for r in got] == [(250_001 - ring, ring, "High" if ring == 2 else "Low")]
+
+
+def plain_prints(text, k=17, w=4):
+    """Winnowing by a plain loop, in hex."""
+    words = re.findall(r"[a-zA-Z0-9_]+|[^a-zA-Z0-9_ \t\n\x0b\f\r]", text)
+    g = [hashlib.md5(" ".join(words[i : i + k]).encode()).hexdigest()[:8] for i in range(len(words) - k + 1)]
+    return {min(g[i : i + w]) for i in range(len(g) - w + 1)}
+
+
+def test_prints_without_a_function_for_each_window(spark):
+    words = " ".join(f"n{i}" for i in range(30))
+    texts = [None, "", words, words + "\x0b\xa0é\U0001f600 # gone", " ".join(["a"] * 20), " ".join(["a"] * 19), "é-ü " * 30, f"  {words}\r\n#x\n\n {words}"]
+    blocks = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "block_id int, content string")
+    got = {}
+    for r in (prints := duplicates.fingerprints(blocks)).collect():
+        assert r["h"] not in got.setdefault(r["block_id"], set())
+        got[r["block_id"]].add(r["h"])
+    texts[3], texts[7] = words + "\x0b\xa0é\U0001f600", f"{words} {words}"
+    assert got == {i: p for i, x in enumerate(texts) if x and (p := plain_prints(x))}
+    assert "MapInArrow" in prints._jdf.queryExecution().executedPlan().toString()  # md5 in nested functions took nine times as long
