@@ -109,3 +109,37 @@ def test_prints_without_a_function_for_each_window(spark):
     texts[3], texts[7] = words + "\x0b\xa0é\U0001f600", f"{words} {words}"
     assert got == {i: p for i, x in enumerate(texts) if x and (p := plain_prints(x))}
     assert "MapInArrow" in prints._jdf.queryExecution().executedPlan().toString()  # md5 in nested functions took nine times as long
+
+
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.5, 5 / 7])
+def test_similar_pairs_by_brute_force(spark, least):
+    rnd, sets = random.Random(5), {}
+    for i in range(120):
+        own = {rnd.randrange(-(1 << 31), 1 << 31) for _ in range(rnd.randrange(1, 30))}
+        passage = set(range(100 * (i % 7), 100 * (i % 7) + rnd.choice([0, 3, 20, 40])))
+        sets[i] = own | passage | (set(rnd.sample(sorted(sets[i - 1]), len(sets[i - 1]) * 3 // 4)) if i % 3 == 1 else set())
+    want = {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= least}
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "block_id int, prints array<int>")
+    got = [(r["a"], r["b"], r["shared"]) for r in duplicates.jaccard_pairs(rows, least=least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    other = {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if b % 10 == 0 and x & y and len(x & y) / len(x | y) >= least}
+    for most in (1_000_000, 0):
+        duplicates.BROADCAST_ROWS, was = most, duplicates.BROADCAST_ROWS
+        assert {(r["a"], r["b"], r["shared"]) for r in duplicates.jaccard_pairs(rows, rows.where("block_id % 10 = 0"), least).collect()} == other
+        duplicates.BROADCAST_ROWS = was
+
+
+def test_blocks_of_too_few_common_prints_are_no_candidates(spark):
+    rows = spark.createDataFrame([(1, list(range(100))), (2, list(range(95, 195))), (3, list(range(90, 300)))], "block_id int, prints array<int>")
+    # with 1: five and ten in common, of the ten that it needs; all but one of 2's are also 3's
+    got = {r["block_id"]: (len(r["hs"]), len(r["prefix"])) for r in duplicates._shareable(rows, 0.1).collect()}
+    assert got == {1: (10, 1), 2: (100, 91), 3: (105, 85)}
+
+
+@pytest.mark.parametrize("name", ["dup_jaccard_pairs", "dup_score_pairs"])
+def test_pairs_without_documents_of_no_source(spark, tmp_path, name):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(words), " ".join(words[:190] + ["x"] * 10), " ".join(words[:100]), " ".join(words[:150]), "short one", None]
+    rows = [(i, x, "en", None if i in (1, 4) else "s", 1) for i, x in enumerate(texts)]
+    got, want = both(spark, tmp_path, name, documents=(rows, DOCS))
+    assert got == want and got
