@@ -143,3 +143,11 @@ def test_pairs_without_documents_of_no_source(spark, tmp_path, name):
     rows = [(i, x, "en", None if i in (1, 4) else "s", 1) for i, x in enumerate(texts)]
     got, want = both(spark, tmp_path, name, documents=(rows, DOCS))
     assert got == want and got
+
+
+def test_against_others_without_a_shuffle_of_prints(spark):
+    rows = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(20)], "block_id int, prints array<int>")
+    p = duplicates.jaccard_pairs(rows, rows.where("block_id = 3"))
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(") == 1  # only of counts
+    assert {(r["a"], r["shared"]) for r in p.collect()} == {(i, 9 - abs(i - 3)) for i in range(12)}
